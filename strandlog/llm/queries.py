@@ -5,12 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandlog.llm import bpe, packing
+from strandlog.functions.keys import pad_key
+from strandlog.llm import bpe, frequent, packing, quantiles, seen
 from strandlog.llm.arrow import bounded_batches
 from strandlog.sources.tables import table
 
 
+#: Share of the rows that makes a key frequent, and the length of the top list.
+FREQUENT, TOP = 0.005, 50
+
+
+def _both(spark: SparkSession, d: str, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    parts = [f(table(spark, d, name)).select(F.lit(name).alias("tbl"), F.col("value").alias("key"), "n") for name in ("get_request", "put_log")]
+    return parts[0].unionByName(parts[1])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _both(spark, d, lambda df: frequent.at_least(df, pad_key("key"), FREQUENT)).select("tbl", "key")
+
+
+def p2_top(spark: SparkSession, d: str) -> DataFrame:
+    return _both(spark, d, lambda df: frequent.top(df, pad_key("key"), TOP))
+
+
+def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return quantiles.percentiles(table(spark, d, "workload_stats"))
+
+
+def p3_within(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "workload_stats")
+    return quantiles.audit(df, quantiles.percentiles(df))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return seen.seen_before(table(spark, d, "put_request"), table(spark, d, "value_log"))
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    return seen.rates(table(spark, d, "put_request"), table(spark, d, "value_log"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     bounded_batches(spark)
     return bpe.encode_corpus(table(spark, d, "documents"))
@@ -24,6 +60,28 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, d), table(spark, d, "container_sizes"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_ids, p8_containers, p8_fill)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p2_found, p2_top, p3_percentiles, p3_within, p6_found, p6_rates, p7_ids, p8_containers, p8_fill)
+}
+
+_COUNTS = """
+with k as (select 'get_request' as tbl, key from get_request union all select 'put_log', key from put_log),
+c as (select tbl, lpad(key, 10, '0') as key, cast(count(*) as bigint) as n from k where key is not null group by all)
+"""
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p2_found": _COUNTS + f"select tbl, key from c where n >= {FREQUENT} * (select count(*) from k where k.tbl = c.tbl and k.key is not null)",
+    "p2_top": _COUNTS + f"select tbl, key, n from c qualify row_number() over (partition by tbl order by n desc, key) <= {TOP}",
+    "p3_within": """
+with o as (select result_id, max(workload) as workload, max(run_day) as run_day, max(read_latency_ns) as r, max(write_latency_ns) as w, max(value_size) as s
+           from workload_stats where result_id is not null group by 1
+           union all select result_id, workload, run_day, read_latency_ns, write_latency_ns, value_size from workload_stats where result_id is null),
+v as (select workload, run_day, 'read_latency_ns' as metric from o where r >= 0 union all
+      select workload, run_day, 'write_latency_ns' from o where w >= 0 union all select workload, run_day, 'value_size' from o where s >= 0)
+select 'day' as scope, workload, run_day, metric, cast(count(*) as bigint) as n, true as within from v group by all
+union all select 'all', workload, cast(null as date), metric, cast(count(*) as bigint), true from v group by workload, metric""",
+    "p6_found": """
+with p as (select recv_id, lpad(key, 10, '0') as pkey from put_request where key is not null and recv_id is not null),
+r as (select *, min(recv_id) over (partition by pkey) as first from p)
+select recv_id from r where recv_id > first or pkey in (select lpad(key, 10, '0') from value_log where key is not null)""",
+}
