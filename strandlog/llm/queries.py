@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlog.functions.keys import pad_key
-from strandlog.llm import bpe, frequent, packing, quantiles, seen
+from strandlog.llm import bpe, frequent, packing, quantiles, seen, sentences
 from strandlog.llm.arrow import bounded_batches
 from strandlog.sources.tables import table
 
@@ -60,8 +60,12 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, d), table(spark, d, "container_sizes"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_top, p3_percentiles, p3_within, p6_found, p6_rates, p7_ids, p8_containers, p8_fill)
+    f.__name__: f for f in (p2_found, p2_top, p3_percentiles, p3_within, p6_found, p6_rates, p7_ids, p8_containers, p8_fill, p9_found)
 }
 
 _COUNTS = """
