@@ -11,14 +11,13 @@ Defined cases: null keys and values are written as empty ones; keys are padded o
 
 from __future__ import annotations
 
-import glob
-import os
 import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlparse
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -29,8 +28,30 @@ KEY_WIDTH = 10
 SCHEMA = "file string, file_offset long, idx long, term long, voted_for long, key_size long, value_size long, key string, value string"
 
 
-def local(path: str) -> str:
-    return urlparse(path).path if path.startswith("file:") else path
+#: Bytes that a reader holds at once besides a record that is longer.
+CHUNK = 4 << 20
+
+
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path on it."""
+    if "://" not in path and not path.startswith("file:"):
+        return fs.LocalFileSystem(), path
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), urlparse(path).path
+    return fs.FileSystem.from_uri(path)
+
+
+class Bytes:
+    """Reads of a file at growing places, through one bounded buffer."""
+
+    def __init__(self, file) -> None:
+        self.file, self.size, self.at, self.buffer = file, file.size(), 0, b""
+
+    def get(self, start: int, n: int) -> bytes:
+        if not (self.at <= start and start + n <= self.at + len(self.buffer)):
+            self.buffer = self.file.read_at(max(n, min(CHUNK, self.size - start)), start)
+            self.at = start
+        return self.buffer[start - self.at : start - self.at + n]
 
 
 def zigzag(n: int) -> bytes:
@@ -65,25 +86,20 @@ def pack(idx: int, term: int, voted_for: int, key: str | None, value: str | None
 def walk(path: str, demo: bool, start: int, end: int, values: bool, drop: bool) -> Iterator[tuple]:
     """Records that begin in [start, end): offset, idx, term, voted_for, key_size, value_size, key, value."""
     head = DEMO if demo else STORED
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
-        at = start
-        f.seek(at)
-        while at < min(end, size):
-            raw = f.read(head.size)
-            fields = head.unpack(raw) if len(raw) == head.size else None
+    where, name = filesystem(path)
+    with where.open_input_file(name) as file:
+        f, at = Bytes(file), start
+        while at < min(end, f.size):
+            fields = head.unpack(f.get(at, head.size)) if at + head.size <= f.size else None
             k, v = fields[-2:] if fields else (0, 0)
             stop = at + head.size + k + v
-            if fields is None or stop > size:
+            if fields is None or stop > f.size:
                 if drop:
                     return
                 raise ValueError(f"{path}: the record at {at} ends after the file")
             idx, term, voted = (0, 0, 0) if demo else fields[:3]
-            if values:
-                yield at, idx, term, voted, k, v, f.read(k).decode(), f.read(v).decode()
-            else:
-                f.seek(stop)
-                yield at, idx, term, voted, k, v, None, None
+            body = f.get(at + head.size, k + v) if values else b""
+            yield at, idx, term, voted, k, v, body[:k].decode() if values else None, body[k:].decode() if values else None
             at = stop
 
 
@@ -91,7 +107,7 @@ def read_at(path: str, offset: int, demo: bool = False) -> tuple[str, str] | Non
     """Key and value of the record at an offset; None for offset -1."""
     if offset == -1:
         return None
-    for r in walk(local(path), demo, offset, offset + 1, True, False):
+    for r in walk(path, demo, offset, offset + 1, True, False):
         return r[6], r[7]
     return None
 
@@ -105,27 +121,30 @@ class Piece(InputPartition):
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.root = local(options["path"])
+        self.root = options["path"]
+        self.scheme = self.root[: self.root.index("://") + 3] if "://" in self.root else "file:" if self.root.startswith("file:") else ""
         self.demo = options.get("layout", "stored") == "demo"
         self.split = int(options.get("splitbytes", options.get("splitBytes", 0)))
         self.drop = options.get("truncated", "error") == "drop"
 
     def partitions(self) -> list[Piece]:
-        files = [self.root] if os.path.isfile(self.root) else sorted(x for x in glob.glob(os.path.join(self.root, "*")) if os.path.isfile(x) and not os.path.basename(x).startswith(("_", ".")))
+        where, name = filesystem(self.root)
+        info = where.get_file_info(name)
+        files = [info] if info.is_file else where.get_file_info(fs.FileSelector(name, allow_not_found=True))
         out = []
-        for path in files:
-            size = os.path.getsize(path)
+        for x in sorted((x for x in files if x.is_file and x.base_name[0] not in "_."), key=lambda x: x.path):
+            path = self.scheme + x.path
             starts = [0]
-            if self.split and size > self.split:
-                for at, *_ in walk(path, self.demo, 0, size, False, self.drop):
+            if self.split and x.size > self.split:
+                for at, *_ in walk(path, self.demo, 0, x.size, False, self.drop):
                     if at >= starts[-1] + self.split:
                         starts.append(at)
-            out += [Piece(path, a, b) for a, b in zip(starts, [*starts[1:], size])]
+            out += [Piece(path, a, b) for a, b in zip(starts, [*starts[1:], x.size])]
         return out
 
     def read(self, piece: Piece) -> Iterator[tuple]:
         for r in walk(piece.path, self.demo, piece.start, piece.end, True, self.drop):
-            yield (os.path.basename(piece.path), *r)
+            yield (piece.path.rsplit("/", 1)[-1], *r)
 
 
 @dataclass
@@ -136,36 +155,39 @@ class Written(WriterCommitMessage):
 
 class Writer(DataSourceWriter):
     def __init__(self, options: dict, schema: StructType, overwrite: bool) -> None:
-        self.root = local(options["path"])
+        self.root = options["path"]
         self.demo = options.get("layout", "stored") == "demo"
         self.overwrite = overwrite
         self.job = uuid.uuid4().hex[:12]
-        os.makedirs(self.root, exist_ok=True)
 
     def write(self, rows: Iterator) -> Written:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        name = f"part-{part:05d}-{self.job}.vlog"
-        temporary = os.path.join(self.root, f"_{name}.{uuid.uuid4().hex}")
-        with open(temporary, "wb") as f:
+        where, root = filesystem(self.root)
+        where.create_dir(root, recursive=True)
+        name = f"part-{TaskContext.get().partitionId():05d}-{self.job}.vlog"
+        temporary = f"{root}/_{name}.{uuid.uuid4().hex}"  # each attempt has its own
+        with where.open_output_stream(temporary, buffer_size=CHUNK) as f:
             for r in rows:
                 d = r.asDict()
                 f.write(pack(d.get("idx") or 0, d.get("term") or 0, d.get("voted_for") or 0, d.get("key"), d.get("value"), self.demo))
-        return Written(temporary, os.path.join(self.root, name))
+        return Written(temporary, f"{root}/{name}")
 
     def commit(self, messages: list) -> None:
+        where, root = filesystem(self.root)
         if self.overwrite:
-            for x in glob.glob(os.path.join(self.root, "part-*.vlog")):
-                os.remove(x)
+            for x in where.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+                if x.is_file and x.base_name.endswith(".vlog") and not x.base_name.startswith("_"):
+                    where.delete_file(x.path)
         for m in messages:
             if m:
-                os.replace(m.temporary, m.final)
+                where.move(m.temporary, m.final)
 
     def abort(self, messages: list) -> None:
+        where, _ = filesystem(self.root)
         for m in messages:
-            if m and os.path.exists(m.temporary):
-                os.remove(m.temporary)
+            if m and where.get_file_info(m.temporary).is_file:
+                where.delete_file(m.temporary)
 
 
 class ValueLog(DataSource):
