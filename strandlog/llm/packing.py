@@ -3,7 +3,7 @@
 Only lengths matter for where items fit, so the search runs on the histogram of lengths, which has at most
 capacity + 1 rows however many items there are, and yields *patterns*: lengths that share a container, and how
 many such containers there are. Single, pair and triple sums of available lengths are indexed; beginning
-with the longest, a length takes the combination that fills its gap exactly as often as the counts allow. What
+with the longest, a length takes the combination that fills its gap exactly as often as the counts allow; a gap that no triple fills takes one length and a triple. What
 has no exact complement is placed by best fit, longest first. Then every item gets its rank among the items of its
 length, from prefix sums over buckets so that a length that a third of all items share is ranked in
 parallel, and the rank names its container.
@@ -69,69 +69,92 @@ def token_counts(df: DataFrame, doc: str = "doc_id", text: str = "text", directo
 
 
 class Sums:
-    """Bit sets of the lengths that one, two and three available items make together."""
+    """Which lengths one, two and three available items make together, up to the capacity.
 
-    def __init__(self, count: dict[int, int]) -> None:
-        self.rebuild(count)
+    The sums are an index that may be out of date as lengths run out, so what it proposes is checked against the counts.
+    """
+
+    def __init__(self, count: np.ndarray) -> None:
+        self.count, self.capacity = count, len(count) - 1
+        self.rebuild()
 
-    def rebuild(self, count: dict[int, int]) -> None:
+    def rebuild(self) -> None:
         self.gone = 0
-        self.lengths = sorted((x for x, n in count.items() if n), reverse=True)
-        most = (1 << (max(self.lengths, default=0) * 3 + 1)) - 1
-        self.one = sum(1 << x for x in self.lengths)
-        self.two = self.three = 0
-        for x in self.lengths:
-            self.two |= self.one << x
-        for x in self.lengths:
-            self.three |= (self.two << x) & most
-
-    def fill(self, gap: int, count: dict[int, int], left: Counter) -> list[int] | None:
-        """Up to three available lengths whose sum is ``gap``, the longest first; ``left`` are lengths already taken."""
-
-        def free(*xs: int) -> bool:
-            need = left + Counter(xs)
-            return all(count.get(x, 0) >= need[x] for x in xs)
-
-        if self.one >> gap & 1 and free(gap):
+        mask = (1 << (self.capacity + 1)) - 1
+        lengths = np.flatnonzero(self.count).tolist()
+        one = sum(1 << x for x in lengths)
+        two = three = 0
+        for x in lengths:
+            two |= one << x & mask
+        for x in lengths:
+            three |= two << x & mask
+        self.two, self.three = (np.unpackbits(np.frombuffer(v.to_bytes(self.capacity // 8 + 1, "little"), dtype=np.uint8), bitorder="little").astype(bool) for v in (two, three))
+
+    def free(self, taken: list[int], *more: int) -> bool:
+        need = Counter([*taken, *more])
+        return all(self.count[x] >= need[x] for x in more)
+
+    def pair(self, gap: int, most: int, taken: list[int]) -> list[int] | None:
+        """Two lengths of at most ``most`` with sum ``gap``, the longest first."""
+        lo, hi = (gap + 1) // 2, min(gap - 1, most)
+        if hi < lo:
+            return None
+        there = self.count > 0
+        for i in np.flatnonzero(there[lo : hi + 1] & there[gap - hi : gap - lo + 1][::-1])[::-1].tolist():
+            if self.free(taken, lo + i, gap - lo - i):
+                return [lo + i, gap - lo - i]
+        return None
+
+    def fill(self, gap: int, taken: list[int]) -> list[int] | None:
+        """The fewest available lengths, up to four, whose sum is ``gap``, the longest first; ``taken`` are taken already."""
+        if self.count[gap] and self.free(taken, gap):
             return [gap]
-        if self.two >> gap & 1:
-            for a in self.lengths[bisect.bisect_left(self.lengths, -gap + 1, key=lambda x: -x) :]:
-                if 2 * a < gap:
-                    break
-                if self.one >> (gap - a) & 1 and free(a, gap - a):
-                    return [a, gap - a]
-        if self.three >> gap & 1:
-            for a in self.lengths[bisect.bisect_left(self.lengths, -gap + 2, key=lambda x: -x) :]:
-                if 3 * a < gap:
-                    break
-                if self.two >> (gap - a) & 1:
-                    for b in self.lengths[bisect.bisect_left(self.lengths, -min(a, gap - a - 1), key=lambda x: -x) :]:
-                        c = gap - a - b
-                        if c > b:
-                            break
-                        if c > 0 and self.one >> c & 1 and free(a, b, c):
-                            return [a, b, c]
+        if found := self.two[gap] and self.pair(gap, gap - 1, taken):
+            return found
+        there = self.count > 0
+        if self.three[gap]:
+            lo = -(-gap // 3)
+            for i in np.flatnonzero(there[lo : gap - 1] & self.two[2 : gap - lo + 1][::-1])[::-1].tolist():
+                if self.free(taken, lo + i) and (found := self.pair(gap - lo - i, lo + i, [*taken, lo + i])):
+                    return [lo + i, *found]
+        # Failing that, the longest for which a triple fills what it leaves.
+        if gap > 3:
+            lo = -(-gap // 4)
+            for i in np.flatnonzero(there[lo : gap - 2] & self.three[3 : gap - lo + 1][::-1])[::-1].tolist():
+                y, rest = lo + i, gap - lo - i
+                if not self.free(taken, y):
+                    continue
+                first = -(-rest // 3)
+                for j in np.flatnonzero(there[first : rest - 1] & self.two[2 : rest - first + 1][::-1])[::-1].tolist():
+                    z = first + j
+                    if z <= y and self.free([*taken, y], z) and (found := self.pair(rest - z, z, [*taken, y, z])):
+                        return [y, z, *found]
         return None
 
 
 def patterns(count: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
     """(number of containers, the lengths in each) that place all items of lengths 1 to ``capacity``."""
-    count = {x: n for x, n in count.items() if n > 0 and x > 0}
-    out = [(count.pop(capacity), [capacity])] if capacity in count else []
-    sums = Sums(count)
-    for x in list(sums.lengths):
-        while count.get(x, 0):
-            mates = sums.fill(capacity - x, count, Counter([x]))
+    left = np.zeros(capacity + 1, dtype=np.int64)
+    for x, n in count.items():
+        if 0 < x <= capacity:
+            left[x] = n
+    out = [(int(left[capacity]), [capacity])] if left[capacity] else []
+    left[capacity] = 0
+    sums = Sums(left)
+    for x in np.flatnonzero(left)[::-1].tolist():
+        while left[x]:
+            mates = sums.fill(capacity - x, [x])
             if mates is None:
                 break
             need = Counter([x, *mates])
-            r = min(count[y] // k for y, k in need.items())
+            r = min(int(left[y]) // k for y, k in need.items())
             out.append((r, [x, *mates]))
             for y, k in need.items():
-                count[y] -= r * k
-                sums.gone += count[y] == 0
+                left[y] -= r * k
+                sums.gone += left[y] == 0
             if sums.gone >= REBUILD:
-                sums.rebuild(count)
+                sums.rebuild()
+    count = {int(x): int(left[x]) for x in np.flatnonzero(left)}
     # Best fit: of the open containers the fullest in which the length fits. Containers alike are one class.
     gaps: list[int] = []
     opened: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
