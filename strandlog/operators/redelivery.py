@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from strandlog.functions.keys import pad_key
-from strandlog.operators.hot import HOT_PARTS, join_on_keys
+from strandlog.operators.hot import HOT_PARTS, hot_rows, join_on_keys
 from strandlog.sources.shared import cut
 
 #: Numbers in a block; a block holds at most half as many disjoint ranges.
@@ -83,11 +83,22 @@ class SeenRanges:
         self.ranges = spark.createDataFrame([], RANGES)
         self.accepted = spark.createDataFrame([], ACCEPTED)
 
+    def _covered(self, found: DataFrame) -> DataFrame:
+        """Adds _covered. A block that a client fills again and again may hold many messages; such blocks, of which there are
+        at most HOT_PARTS, meet their ranges by broadcast, the others by shuffle."""
+        if self.ranges.isEmpty():
+            return found.withColumn("_covered", F.lit(False))
+        block = ["_client", "_block"]
+        hot = hot_rows(found.groupBy(*block).agg(F.count("*").alias("_k")), "_k", found.count()).select(*block)
+        near = self.ranges.join(F.broadcast(hot), block)
+        parts = found.join(F.broadcast(hot), block).join(F.broadcast(near), block, "left"), found.join(F.broadcast(hot), block, "left_anti").join(self.ranges, block, "left")
+        inside = F.exists(F.coalesce("_ranges", F.array().cast("array<struct<lo: bigint, hi: bigint>>")), lambda r: (r["lo"] <= F.col("_seq")) & (F.col("_seq") <= r["hi"]))
+        return parts[0].unionByName(parts[1]).withColumn("_covered", inside).drop("_ranges")
+
     def take(self, wave: DataFrame) -> DataFrame:
         """Takes a wave (with _recv and MESSAGE); per message: _first, _n, _seen (accepted in an earlier wave)."""
-        found = wave.groupBy(*MESSAGE).agg(F.min("_recv").alias("_first"), F.count("*").alias("_n")).withColumn("_block", block_of(F.col("_seq")))
-        covered = F.exists(F.coalesce("_ranges", F.array().cast("array<struct<lo: bigint, hi: bigint>>")), lambda r: (r["lo"] <= F.col("_seq")) & (F.col("_seq") <= r["hi"]))
-        found = cut(found.join(self.ranges, ["_client", "_block"], "left").withColumn("_covered", covered).drop("_ranges"), "found")
+        found = cut(wave.groupBy(*MESSAGE).agg(F.min("_recv").alias("_first"), F.count("*").alias("_n")).withColumn("_block", block_of(F.col("_seq"))), "messages")
+        found = cut(self._covered(found), "found")
         ask = found.filter("_covered")
         copies = ask.join(self.accepted, MESSAGE, "left_semi").select(*MESSAGE, F.lit(True).alias("_again"))
         judged = cut(ask.join(copies, MESSAGE, "left").withColumn("_seen", F.coalesce("_again", F.lit(False))).drop("_again")

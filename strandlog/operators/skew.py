@@ -39,9 +39,9 @@ def distinct_counts(c: DataFrame, name: str) -> DataFrame:
 
 
 def modes(c: DataFrame, name: str) -> DataFrame:
-    """The most frequent value per key. Two passes of plain numbers: the greatest weight, then the least value that has it."""
-    top = c.filter(F.col("v").isNotNull()).groupBy("k").agg(F.max("w").alias("top"))
-    return c.filter(F.col("v").isNotNull()).join(top, "k").filter("w = top").groupBy("k").agg(F.min("v").alias(name))
+    """The most frequent value per key, by one aggregate that combines before the shuffle."""
+    best = F.min(F.struct((-F.col("w")).alias("order"), "v"))
+    return c.filter(F.col("v").isNotNull()).groupBy("k").agg(best["v"].alias(name))
 
 
 def percentiles(c: DataFrame, names: dict[str, float], bits: int = BITS) -> DataFrame:
