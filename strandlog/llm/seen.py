@@ -143,7 +143,8 @@ def rates(records: DataFrame, store: DataFrame, recv: str = "recv_id", key: str
     j = judge(records, store, recv, key, waves)
     sizes = j.store.groupBy("segment").count().select("segment", F.col("count").alias("keys"))
     asked = j.keys.groupBy("wave").count()
-    probes = sizes.join(asked, F.col("wave") >= F.col("segment")).groupBy("segment", "keys").agg(F.sum("count").alias("probes"))  # a handful of rows each
+    earlier = asked.select(F.explode(F.sequence(F.lit(0), "wave")).alias("segment"), "count").groupBy("segment").agg(F.sum("count").alias("probes"))
+    probes = sizes.join(earlier, "segment")
     got = j.passed.groupBy("segment").agg(F.count("*").alias("passed"), F.sum((~F.col("sure")).cast("long")).alias("wrong"))
     fresh = F.col("probes") - F.col("passed") + F.col("wrong")
     return probes.join(got, "segment", "left").na.fill(0, ["passed", "wrong"]).select(
