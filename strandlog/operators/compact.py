@@ -6,7 +6,7 @@ takes no bytes; empty logs give empty results, or zeros where a total is asked f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlog.functions.scalars import MISSING_OFFSET, record_bytes
@@ -92,3 +92,18 @@ def index_mismatches(records: DataFrame, segment: DataFrame) -> DataFrame:
     a = numbered(records.select("key", "idx"), ["idx"]).select("rn", F.col("key").alias("log_key"))
     b = numbered(segment.select("key", "idx"), ["idx"]).select("rn", F.col("key").alias("segment_key"))
     return a.join(b, "rn", "full").filter(~F.col("log_key").eqNullSafe(F.col("segment_key"))).agg(F.count("*").alias("mismatches"))
+
+
+def schedule(activity: DataFrame, ts: str, every_minutes: int = 30, idle_seconds: int = 300, full: Column | None = None) -> DataFrame:
+    """When a scheduler would start a compaction: slot (microseconds of its interval's start) and reason.
+
+    One run per interval at most: the first reason of 'full' (a row where ``full`` holds), 'idle' (a gap of more than
+    ``idle_seconds`` ends in the interval) and 'interval' (there was any activity). Rows without a time are left out.
+    """
+    rows = activity.filter(F.col(ts).isNotNull()).select(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), (F.coalesce(full, F.lit(False)) if full is not None else F.lit(False)).alias("full"))
+    blocks, w = over_preceding(numbered(rows, ["t"]), 1)
+    gap = F.col("t") - F.lag("t").over(w)
+    step = every_minutes * 60_000_000
+    marked = blocks.withColumn("idle", F.coalesce(gap > idle_seconds * 1_000_000, F.lit(False))).filter("_own").withColumn("slot", F.col("t") - F.pmod("t", F.lit(step)))
+    per = marked.groupBy("slot").agg(F.max("full").alias("full"), F.max("idle").alias("idle"))
+    return per.select("slot", F.when(F.col("full"), "full").when(F.col("idle"), "idle").otherwise("interval").alias("reason"))

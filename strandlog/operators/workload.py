@@ -82,6 +82,13 @@ def operation_mix(spark: SparkSession, n: int, write_share: float, keys: int) ->
     return placed.select("op_id", is_write.alias("is_write"), key.alias("key"))
 
 
+def load_inserts(spark: SparkSession, n: int, write_share: float, read_keys: int, first_key: int) -> DataFrame:
+    """op_id, is_write, key: writes take the keys from ``first_key`` on, one each, reads draw below ``read_keys``."""
+    mixed = operation_mix(spark, n, write_share, max(1, n))
+    read = digest("load-read", F.col("op_id")) % F.lit(read_keys)
+    return mixed.select("op_id", "is_write", F.when(F.col("is_write"), F.col("key") + first_key).otherwise(read).alias("key"))
+
+
 def every_nth(df: DataFrame, ident: str, n: int) -> DataFrame:
     """Adds is_write: one row in n by its id."""
     return df.withColumn("is_write", F.col(ident) % n == 0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlog.functions.keys import pad_key
 from strandlog.functions.scalars import clock_start, random_value, request_id
-from strandlog.operators import features, live, metrics, workload
+from strandlog.operators import compact, consensus, features, live, metrics, workload
 from strandlog.plans import feeds
 from strandlog.plans.kv import log
 from strandlog.sources import vlog
@@ -99,6 +99,10 @@ def gen_operation_mix(spark: SparkSession, d: str) -> DataFrame:
     return workload.operation_mix(spark, OPS, 0.05, KEYS)
 
 
+def gen_load_inserts(spark: SparkSession, d: str) -> DataFrame:
+    return workload.load_inserts(spark, OPS, 0.5, 2_000_000, 2_000_001)
+
+
 def gen_values(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(OPS).select("id", random_value(40, F.col("id")).alias("value"), request_id(F.col("id")).alias("req"))
 
@@ -129,6 +133,26 @@ def generations_view(spark: SparkSession, d: str) -> DataFrame:
     return g.read()
 
 
+def range_scan_stored(spark: SparkSession, d: str) -> DataFrame:
+    """A range of keys of the compacted segment, whose order lets the scan skip most of it."""
+    g = Generations(spark, new_path(spark, "generations"))
+    g.append(log(spark, d))
+    g.compact()
+    return g.read().filter(live.between("key", "10", "20"))
+
+
+def compaction_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return compact.schedule(table(spark, d, "events"), "ts", full=F.col("value") > 99.9)
+
+
+def committed_reads(spark: SparkSession, d: str) -> DataFrame:
+    """The newest value per key among the entries that a quorum of three streams has reached."""
+    e = table(spark, d, "events").filter(F.col("event_type").isin("click", "view", "error"))
+    progress = e.groupBy("event_type").agg(F.max("event_id").alias("match"))
+    commit = progress.agg(consensus.quorum_index(F.collect_list("match"))).first()[0]
+    return live.latest(consensus.to_apply(log(spark, d), F.lit(-1), F.lit(commit)))
+
+
 def _spooled(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
     src = table(spark, d, "put_log")
     path = new_path(spark, "spool")
@@ -183,8 +207,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         client_throughput, avg_of_avgs, metric_rollups, repeated_runs, measured_means, op_mix, rmw_last, zipf_mass, gen_random_writes, gen_shuffled_slices,
-        gen_sequential_writes, gen_uniform_reads, gen_zipf_reads, gen_scan_ranges, scan_workload, gen_operation_mix, gen_values, clock_starts, vlog_roundtrip,
-        generations_view, stream_apply, stream_latest, stream_spells, lstm_scores,
+        gen_sequential_writes, gen_uniform_reads, gen_zipf_reads, gen_scan_ranges, scan_workload, gen_operation_mix, gen_load_inserts, gen_values, clock_starts, vlog_roundtrip,
+        generations_view, range_scan_stored, compaction_schedule, committed_reads, stream_apply, stream_latest, stream_spells, lstm_scores,
     )
 }
 
@@ -244,6 +268,14 @@ select op_id, rank as key from u join c on u.u >= c.lo and u.u < c.hi""",
     "gen_scan_ranges": _G500 + _SCAN + " select * from q",
     "scan_workload": _G500 + _SCAN + " select range_id, count(*) as n, cast(round(sum(cast(o_totalprice as decimal(18, 2))), 2) as double) as total from q join orders on o_orderkey between lo and hi where not reversed group by 1",
     "gen_operation_mix": f"with g as (select range as id from range({OPS})), o as (select id, row_number() over (order by {_MIX}, id) - 1 as rn from g) select id as op_id, rn < {round(0.05 * OPS)} as is_write, case when rn < {round(0.05 * OPS)} then rn % {KEYS} else {_digest('mix-read')} % {KEYS} end as key from o",
+    "gen_load_inserts": f"with g as (select range as id from range({OPS})), o as (select id, row_number() over (order by {_MIX}, id) - 1 as rn from g) select id as op_id, rn < {OPS // 2} as is_write, case when rn < {OPS // 2} then rn + 2000001 else {_digest('load-read')} % 2000000 end as key from o",
+    "range_scan_stored": "select lpad(cast(user_id as varchar), 10, '0') as key, event_id as idx, props as value from events where user_id between 10 and 20 qualify row_number() over (partition by user_id order by event_id desc) = 1",
+    "compaction_schedule": """
+with s as (select epoch_us(ts) as t, value > 99.9 as f, epoch_us(ts) - lag(epoch_us(ts)) over (order by event_id) > 300000000 as idle from events)
+select t - t % 1800000000 as slot, case when bool_or(coalesce(f, false)) then 'full' when bool_or(coalesce(idle, false)) then 'idle' else 'interval' end as reason from s group by 1""",
+    "committed_reads": """
+with c as (select list_sort(list(m))[2] as commit from (select max(event_id) as m from events where event_type in ('click', 'view', 'error') group by event_type))
+select lpad(cast(user_id as varchar), 10, '0') as key, max(event_id) as idx from events, c where event_id <= commit group by 1""",
     "gen_values": f"select range as id, substr(translate(md5('value0:' || range), '0123456789', 'ghijklmnop') || translate(md5('value1:' || range), '0123456789', 'ghijklmnop'), 1, 40) as value, (({_digest('id-high', 'range')} & 1073741823) << 32) | {_digest('id-low', 'range')} as req from range({OPS})",
     "clock_starts": "select n_nationkey, n_name || '1' as node, 0 as at from nation",
     "vlog_roundtrip": "select lpad(coalesce(key, ''), 10, '0') as key, count(*) as n, cast(sum(coalesce(octet_length(encode(value)), 0)) as bigint) as value_bytes, cast(sum(coalesce(length(value), 0)) as bigint) as chars, max(coalesce(idx, 0)) as last_idx from value_log group by 1",

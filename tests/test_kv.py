@@ -238,3 +238,19 @@ def test_csv(spark, tmp_path):
 def test_put_index(spark):
     df = spark.createDataFrame([(3, "put", "7", "v", 1, 1), (1, "put", "8", None, 1, 2)], "recv_id long, op string, key string, value string, client_id long, seq_id long")
     assert [(r.idx, r.key, r.file_version) for r in putlog.assign_index(df, ["recv_id"], compacting=True).orderBy("idx").collect()] == [(1, pad("8"), 1), (2, pad("7"), 1)]
+
+
+def test_schedule(spark):
+    import datetime as dt
+
+    at = [0, 10, 400, 1790, 3700, 9100]
+    rows = [(dt.datetime(2026, 3, 1) + dt.timedelta(seconds=s), s == 9100) for s in at] + [(None, True)]
+    df = spark.createDataFrame(rows, "at timestamp_ntz, full boolean")
+    got = {r.slot % 86_400_000_000 // 60_000_000: r.reason for r in compact.schedule(df, "at", full=F.col("full")).collect()}
+    assert got == {0: "idle", 60: "idle", 150: "full"}
+    assert compact.schedule(df.limit(0), "at").collect() == []
+
+
+def test_load_inserts(spark):
+    rows = workload.load_inserts(spark, 40, 0.25, 100, 1000).collect()
+    assert sorted(r.key for r in rows if r.is_write) == list(range(1000, 1010)) and all(r.key < 100 for r in rows if not r.is_write)
