@@ -365,7 +365,7 @@ select user_id, count(other) = 0 or (count(other) >= count(own) and bool_and(coa
     "threshold_changes": _SERIES + "select idx from s where changed",
     "row_windows": _SERIES + "select * from w",
     "row_windows_period": _SERIES + "select *, coalesce(read_time - lag(read_time) over (order by win), 0) as period from w",
-    "seq_windows": _SERIES + "select idx, lag(v, 32) over (order by rn) as first, 32 as length, v as target from s qualify rn >= 32",
+    "seq_windows": _SERIES + "select idx, lag(v, 32) over (order by rn) as first, cast(32 as bigint) as length, v as target from s qualify rn >= 32",
     "eval_accuracy": "select round(100.0 * count(*) filter (round_even(value / 100, 0) = round_even(value / 100 + 0.2, 0)) / count(*), 6) as accuracy from events",
     "pad_roundtrip": "select raw, lpad(raw, 10, '0') as padded, ltrim(lpad(raw, 10, '0'), '0') as unpadded from (select unnest(['7', '007', '0', '42', '12345678901', '0000000000']) as raw)",
     "offset_codec": "with h as (select o_orderkey, o_orderkey * 7919 * 1000003 as o, lpad(printf('%X', o_orderkey * 7919 * 1000003), 16, '0') as x from orders) select o_orderkey, substr(x, 15, 2) || substr(x, 13, 2) || substr(x, 11, 2) || substr(x, 9, 2) || substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2) as digits, o as \"offset\" from h",
@@ -374,5 +374,5 @@ select user_id, count(other) = 0 or (count(other) >= count(own) and bool_and(coa
 with p as (select node_id, octet_length(encode(key)) as k, coalesce(octet_length(encode(value)), 0) as n, epoch_us(recv_ts) - epoch_us(send_ts) as us from put_request where key is not null and send_ts is not null)
 select concat_ws('-', node_id, k, case when n < 1024 then n || 'B' else (n // 1024) || 'KB' end) as label, count(*) as n, min(us || 'us') as duration from p group by 1""",
     "csv_head": "select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) as rn, l_extendedprice as value from lineitem qualify rn <= 999",
-    "position_in_array": "select event_type, count(*) as n, coalesce(list_position(['click', 'view', 'error'], event_type), 0) - 1 as place from events group by 1",
+    "position_in_array": "select event_type, count(*) as n, cast(coalesce(list_position(['click', 'view', 'error'], event_type), 0) - 1 as bigint) as place from events group by 1",
 }

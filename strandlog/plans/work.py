@@ -277,7 +277,7 @@ select t - t % 1800000000 as slot, case when bool_or(coalesce(f, false)) then 'f
 with c as (select list_sort(list(m))[2] as commit from (select max(event_id) as m from events where event_type in ('click', 'view', 'error') group by event_type))
 select lpad(cast(user_id as varchar), 10, '0') as key, max(event_id) as idx from events, c where event_id <= commit group by 1""",
     "gen_values": f"select range as id, substr(translate(md5('value0:' || range), '0123456789', 'ghijklmnop') || translate(md5('value1:' || range), '0123456789', 'ghijklmnop'), 1, 40) as value, (({_digest('id-high', 'range')} & 1073741823) << 32) | {_digest('id-low', 'range')} as req from range({OPS})",
-    "clock_starts": "select n_nationkey, n_name || '1' as node, 0 as at from nation",
+    "clock_starts": "select n_nationkey, n_name || '1' as node, cast(0 as bigint) as at from nation",
     "vlog_roundtrip": "select lpad(coalesce(key, ''), 10, '0') as key, count(*) as n, cast(sum(coalesce(octet_length(encode(value)), 0)) as bigint) as value_bytes, cast(sum(coalesce(length(value), 0)) as bigint) as chars, max(coalesce(idx, 0)) as last_idx from value_log group by 1",
     "generations_view": "select lpad(cast(user_id as varchar), 10, '0') as key, event_id as idx, props as value from events qualify row_number() over (partition by user_id order by event_id desc) = 1",
     "stream_apply": feeds.ORACLE["p1_found"],
