@@ -24,6 +24,37 @@ COLONS = (":", "：")
 
 Line = tuple[int, int]
 
+# Wrongly decoded UTF-8: characters that stand for the bytes 0x80 to 0xff.
+_BYTE = {}
+for _b in range(0x80, 0x100):
+    _BYTE[chr(_b)] = _b
+    try:
+        _BYTE[bytes([_b]).decode("cp1252")] = _b
+    except UnicodeDecodeError:
+        pass
+_TAIL = "".join(re.escape(c) for c, b in _BYTE.items() if b < 0xC0)
+WRONG = re.compile("[Â-ß][%s]|[à-ï][%s]{2}|[ð-ô][%s]{3}" % (_TAIL, _TAIL, _TAIL))
+
+
+def mended(text: str) -> tuple[str, list[int] | None]:
+    """The text as it was meant, and for each of its characters where it ends in the given one (None: the same)."""
+    if not WRONG.search(text):
+        return text, None
+    out, ends, at = [], [], 0
+    for m in WRONG.finditer(text):
+        try:
+            c = bytes(_BYTE[x] for x in m[0]).decode()
+        except UnicodeDecodeError:
+            continue
+        out.append(text[at : m.start()])
+        ends.extend(range(at + 1, m.start() + 1))
+        out.append(c)
+        ends.append(m.end())
+        at = m.end()
+    out.append(text[at:])
+    ends.extend(range(at + 1, len(text) + 1))
+    return "".join(out), ends
+
 
 def _lines(text: str, start: int, end: int) -> list[Line]:
     out, at = [], start
@@ -69,6 +100,11 @@ def body_spans(text: str) -> list[Line]:
     return []
 
 
+def introduces(text: str, block: list[Line]) -> bool:
+    """Whether a paragraph ends in a colon, also one that was decoded wrongly."""
+    return mended(text[block[0][0] : block[-1][1]].rstrip()[-12:])[0].endswith(COLONS)
+
+
 def own_blocks(text: str) -> list[list[Line]]:
     """Blocks of consecutive lines (start, end) that the writer wrote, parted by empty lines and by what is left out."""
     blocks: list[list[Line]] = []
@@ -88,9 +124,9 @@ def own_blocks(text: str) -> list[list[Line]]:
                 quoted = False
             elif line[0] == ">":
                 if not quoted:  # the paragraph directly above introduces the quotation
-                    if block and text[block[0][0] : block[-1][1]].rstrip().endswith(COLONS):
+                    if block and introduces(text, block):
                         block = []
-                    elif not block and blocks and text[blocks[-1][0][0] : blocks[-1][-1][1]].rstrip().endswith(COLONS) and "@" in text[blocks[-1][0][0] : blocks[-1][-1][1]]:
+                    elif not block and blocks and introduces(text, blocks[-1]) and "@" in text[blocks[-1][0][0] : blocks[-1][-1][1]]:
                         blocks.pop()
                 if block:
                     blocks.append(block)
