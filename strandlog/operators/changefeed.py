@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from strandlog.functions.keys import clean_op, pad_key
 from strandlog.operators.hot import HOT_PARTS, hot_rows
-from strandlog.sources.shared import new_path
+from strandlog.sources.shared import cut, new_path
 
 #: Operations that set a value, and the one that removes a key.
 SETTING_OPS = ("put", "insert", "update")
@@ -91,8 +91,8 @@ class EqualityDeleteTable:
         shuffle; the other rows are anti-joined with the deletes by key. Several inserts of one key at one
         sequence number are one row.
         """
-        inserts, deletes = self._files("insert"), self.compact_deletes()
-        total = self._files("delete").count()
+        inserts, deletes = self._files("insert"), cut(self.compact_deletes(), "deletes")
+        total = deletes.agg(F.sum("n")).first()[0] or 0
 
         def without_later(rows: DataFrame, gone: DataFrame) -> DataFrame:
             d = gone.select(F.col("group_id").alias("g"), F.col("key").alias("k"), "gone")

@@ -13,6 +13,7 @@ from strandlog.functions.scalars import MISSING_OFFSET, record_bytes
 from strandlog.operators.hot import join_on_keys
 from strandlog.operators.live import latest
 from strandlog.operators.ordered import numbered, over_preceding
+from strandlog.sources.shared import cut
 
 
 def log_offsets(log: DataFrame) -> DataFrame:
@@ -38,7 +39,8 @@ def index_get(index: DataFrame, keys: DataFrame) -> DataFrame:
 
 def liveness(records: DataFrame, index: DataFrame) -> DataFrame:
     """Each record with ``valid``: whether the index, which has all of its keys, points to it. Hot keys meet the index by broadcast."""
-    found = join_on_keys(records, index.select("key", F.col("offset").alias("_at"), "n"), ["key"], "n", records.count())
+    stored = cut(index.select("key", F.col("offset").alias("_at"), "n"), "index")  # read for its hot and its other keys
+    found = join_on_keys(records, stored, ["key"], "n", stored.agg(F.sum("n")).first()[0] or 0)
     return found.withColumn("valid", F.col("_at") == F.col("offset")).drop("_at", "n")
 
 
