@@ -36,6 +36,15 @@ def test_ids_of_edge_cases(reference):
     assert enc.encode(pa.array(texts)).to_pylist() == [reference.encode_ordinary(t) for t in texts]
 
 
+def test_ids_equal_the_second_library_too():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path(bpe.VOCABULARY))
+    t.encode_special_tokens = True
+    want = [e.ids for e in t.encode_batch(EDGES, add_special_tokens=False)]
+    assert bpe.Encoder.of(P.path(bpe.VOCABULARY)).encode(pa.array(EDGES)).to_pylist() == want
+
+
 def test_recursion_alone_finds_every_token():
     enc = bpe.Encoder.of(P.path(bpe.VOCABULARY))
     words = [w for w in enc.whole if len(w.encode()) > 1][::7]
