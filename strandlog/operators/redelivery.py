@@ -82,12 +82,11 @@ class SeenRanges:
         self.spark = spark
         self.ranges = spark.createDataFrame([], RANGES)
         self.accepted = spark.createDataFrame([], ACCEPTED)
+        self.begun = False
 
     def _covered(self, found: DataFrame) -> DataFrame:
         """Adds _covered. A block that a client fills again and again may hold many messages; such blocks, of which there are
         at most HOT_PARTS, meet their ranges by broadcast, the others by shuffle."""
-        if self.ranges.isEmpty():
-            return found.withColumn("_covered", F.lit(False))
         block = ["_client", "_block"]
         hot = hot_rows(found.groupBy(*block).agg(F.count("*").alias("_k")), "_k", found.count()).select(*block)
         near = self.ranges.join(F.broadcast(hot), block)
@@ -98,11 +97,15 @@ class SeenRanges:
     def take(self, wave: DataFrame) -> DataFrame:
         """Takes a wave (with _recv and MESSAGE); per message: _first, _n, _seen (accepted in an earlier wave)."""
         found = cut(wave.groupBy(*MESSAGE).agg(F.min("_recv").alias("_first"), F.count("*").alias("_n")).withColumn("_block", block_of(F.col("_seq"))), "messages")
-        found = cut(self._covered(found), "found")
-        ask = found.filter("_covered")
-        copies = ask.join(self.accepted, MESSAGE, "left_semi").select(*MESSAGE, F.lit(True).alias("_again"))
-        judged = cut(ask.join(copies, MESSAGE, "left").withColumn("_seen", F.coalesce("_again", F.lit(False))).drop("_again")
-                     .unionByName(found.filter(~F.col("_covered")).withColumn("_seen", F.lit(False))), "judged")
+        if self.begun:
+            found = cut(self._covered(found), "found")
+            ask = found.filter("_covered")
+            copies = ask.join(self.accepted, MESSAGE, "left_semi").select(*MESSAGE, F.lit(True).alias("_again"))
+            seen = ask.join(copies, MESSAGE, "left").withColumn("_seen", F.coalesce("_again", F.lit(False))).drop("_again")
+            judged = cut(seen.unionByName(found.filter(~F.col("_covered")).withColumn("_seen", F.lit(False))), "judged")
+        else:  # nothing can be covered before the first wave
+            judged = found.withColumns({"_covered": F.lit(False), "_seen": F.lit(False)})
+        self.begun = True
         new = judged.filter(~F.col("_seen"))
         self.accepted = self.accepted.unionByName(new.select(*MESSAGE))
         fresh = runs_of(new.filter(~F.col("_covered")).select("_client", "_seq").distinct())
