@@ -10,7 +10,8 @@ inside are sure non-events, and the places between are counted in expectation, o
 hence shows by never ending a block, a starter by beginning blocks, and a Thai particle by ending them.
 Words are classes: short words with a period by themselves, others by shape. The model keeps the ``VOCABULARY`` most
 frequent classes of either side and the ``CONTEXTS`` most frequent pairs; all others fall back to shapes, so its size,
-and that of its broadcast, doesn't grow with the corpus.
+and that of its broadcast, doesn't grow with the corpus. A pair that falls back counts for its word before with any word
+after; the counts of classes alone are those of all rows.
 
 One unit each without the model: a line with a list marker, a closing formula with its name, a one-line greeting.
 Texts that were decoded wrongly are judged as they were meant, at the places where they are.
@@ -56,6 +57,8 @@ JOINED = re.compile(f"(?<=[^\\W\\d_]{{2}})[.!?…؟]+[{re.escape(CLOSERS)}]*(?=[
 WORDLESS = re.compile(f"[{re.escape(CLOSERS)}]+$")
 UNMARKED_END = re.compile(f"[{UNMARKED}]$")
 JOIN = "~"
+#: Class of the words before whose shape isn't among the ``VOCABULARY`` most frequent.
+OTHER = "other"
 QUOTED = re.compile(
     "„[^“”„]*[“”]|“[^”“]*”|«[^»«]*»|「[^」「]*」|『[^』]*』|（[^）（]*）|\\([^()]*\\)|\"[^\"]*\"|‚[^‘‚]*‘|‹[^›]*›"
 )
@@ -292,6 +295,7 @@ class Model:
     def __init__(self) -> None:
         self.known_before: set[str] = set()
         self.known_after: set[str] = set()
+        self.known_shapes: set[str] | None = None
         self.tells: dict[str, float] = {}
         self.event: dict[str, float] = {}
         self.start: dict[str, float] = {}
@@ -300,7 +304,9 @@ class Model:
         self.total: tuple[dict[str, float], dict[str, float]] = {}, {}
 
     def class_before(self, exact: str, shape: str) -> str:
-        return exact if exact in self.known_before else ("^" if exact[:1] == "^" else "") + shape
+        if exact in self.known_before:
+            return exact
+        return ("^" if exact[:1] == "^" else "") + (shape if self.known_shapes is None or shape in self.known_shapes else OTHER)
 
     def class_after(self, case: str, nxt: str) -> str:
         """Of the two classes of a word the one that tells more about starts."""
@@ -352,16 +358,16 @@ class Model:
 
 
 def fit(stats: DataFrame) -> Model:
-    """EM over the counts; what reaches the driver is bounded by VOCABULARY and CONTEXTS."""
+    """EM over the counts; what reaches the driver is bounded by VOCABULARY and CONTEXTS, and no count is left out."""
     m = Model()
     word, pair = F.split_part("next", F.lit(JOIN), F.lit(1)), F.split_part("next", F.lit(JOIN), F.lit(2))
     stats = stats.withColumns({"word": word, "pair": pair})
 
-    def top(c: str) -> list[str]:
+    def top(c: str, least: int = LEAST) -> list[str]:
         per = stats.filter(F.col(c) != "").groupBy(c).agg(F.sum("n").alias("n"))
-        return [r[0] for r in per.filter(F.col("n") >= LEAST).orderBy(F.desc("n"), c).limit(VOCABULARY).collect()]
+        return [r[0] for r in per.filter(F.col("n") >= least).orderBy(F.desc("n"), c).limit(VOCABULARY).collect()]
 
-    m.known_before, m.known_after = set(top("exact")), set(top("word"))
+    m.known_before, m.known_after, m.known_shapes = set(top("exact")), set(top("word")), set(top("shape", 1))
     pairs_known = top("pair")
     spark = stats.sparkSession
 
@@ -371,36 +377,51 @@ def fit(stats: DataFrame) -> Model:
     first = F.when(F.col("exact").startswith("^"), "^").otherwise("")
     quote, script = F.when(F.col("word").startswith('"'), '"').otherwise(""), F.ltrim(F.col("word"), F.lit('"'))
     rest = F.concat(quote, F.when(script.rlike("^[\u2e80-\uffff]"), "*c").when(script.rlike("^[\u0e00-\u109f]"), "*t").otherwise("*"))
-    mapped = (
-        stats.join(known(m.known_before, "exact", "kb"), "exact", "left").join(known(m.known_after, "word", "kw"), "word", "left").join(known(pairs_known, "pair", "kp"), "pair", "left")
-        .select("kind", F.when(F.col("kb"), F.col("exact")).otherwise(F.concat(first, "shape")).alias("cur"),
+    shape = F.when(F.col("ks") | (F.col("shape") == ""), F.col("shape")).otherwise(OTHER)
+    mapped = cut(
+        stats.join(known(m.known_before, "exact", "kb"), "exact", "left").join(known(m.known_after, "word", "kw"), "word", "left").join(known(pairs_known, "pair", "kp"), "pair", "left").join(known(m.known_shapes, "shape", "ks"), "shape", "left")
+        .select("kind", F.when(F.col("kb"), F.col("exact")).otherwise(F.concat(first, shape)).alias("cur"),
                 F.when(F.col("word") == "", "").otherwise(F.concat("case", F.when(F.col("kw"), F.col("word")).otherwise(rest))).alias("nxt"),
-                F.when(F.col("kp"), F.concat("case", "pair")).otherwise("").alias("pair"), "n")
-        .groupBy("kind", "cur", "nxt", "pair").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "kind", "cur", "nxt", "pair").limit(CONTEXTS).collect()
+                F.when(F.col("kp"), F.concat("case", "pair")).otherwise("").alias("pair"), F.concat("case", rest).alias("rest"), "n")
+        .groupBy("kind", "cur", "nxt", "pair").agg(F.sum("n").alias("n"), F.min("rest").alias("rest")),
+        "sentence-classes",
     )
     # How much a class tells: the log ratio of its share among sure starts to its share elsewhere, for each kind of class.
+    classes = mapped.filter("kind != 'e'").select("kind", "n", F.explode(F.array_distinct(F.array("nxt", "pair"))).alias("class"), "nxt").filter("class != '' or nxt = ''")
     seen: dict[str, list[float]] = {}
-    for kind, _, nxt, pair, n in mapped:
-        if kind != "e":
-            for c in (nxt, "n" + nxt[1:], *((pair, "n" + pair[1:]) if pair else ())):
-                one = seen.setdefault(c, [0.0, 0.0, 0.0])
-                one["suc".index(kind)] += n
+    plain_classes = set()
+    for kind, cls, n in classes.groupBy("kind", "class").agg(F.sum("n")).collect():
+        plain_classes.add(cls)
+        for c in (cls, "n" + cls[1:]):
+            one = seen.setdefault(c, [0.0, 0.0, 0.0])
+            one["suc".index(kind)] += n
     at_start, elsewhere = (sum(x[0] for x in seen.values()) or 1.0), (sum(x[1] + x[2] for x in seen.values()) or 1.0)
     for c, (s0, u0, c0) in seen.items():
         other = u0 + max(0.0, c0 - INSIDE * s0)
         m.tells[c] = float(np.log((s0 + 0.5) / at_start) - np.log((other + 0.5) / elsewhere))
+    strength = spark.createDataFrame([(c, abs(m.tells[c])) for c in plain_classes], "class string, tells double")
+    tells = lambda c: F.broadcast(strength.select(F.col("class").alias(c), F.col("tells").alias(f"{c}_tells")))
+    chosen = cut(
+        mapped.join(tells("nxt"), "nxt", "left").join(tells("pair"), "pair", "left")
+        .select("kind", "cur", F.when((F.col("pair") != "") & (F.col("pair_tells") > F.col("nxt_tells")), F.col("pair")).otherwise(F.col("nxt")).alias("nxt"), "rest", "n")
+        .groupBy("kind", "cur", "nxt").agg(F.sum("n").alias("n"), F.min("rest").alias("rest")),
+        "sentence-pairs",
+    )
     starts, inner, ends, contexts = Counter(), Counter(), Counter(), Counter()
-    for kind, cur, nxt, pair, n in mapped:
-        if pair and abs(m.tells[pair]) > abs(m.tells[nxt]):
-            nxt = pair
+    for kind, cur, nxt, n in chosen.filter("kind != 'c'").select("kind", "cur", "nxt", "n").collect():
         if kind == "s":
             starts[nxt] += n
         elif kind == "u":
             inner[nxt] += n
-        elif kind == "e":
-            ends[cur] += n
         else:
+            ends[cur] += n
+    around = chosen.filter("kind = 'c'")
+    kept = around.select("n", "cur", "nxt").orderBy(F.desc("n"), "cur", "nxt").limit(CONTEXTS).collect()
+    for n, cur, nxt in kept:
+        contexts[cur, nxt] += n
+    if len(kept) == CONTEXTS:
+        beyond = F.struct((-F.col("n")).alias("n"), "cur", "nxt") > F.struct(*(F.lit(v).alias(k) for k, v in zip(("n", "cur", "nxt"), (-kept[-1][0], *kept[-1][1:]))))
+        for cur, nxt, n in around.filter(beyond).groupBy("cur", "rest").agg(F.sum("n")).collect():
             contexts[cur, nxt] += n
     pairs = [(a, b, n) for (a, b), n in contexts.items()]
     if not pairs:

@@ -199,6 +199,17 @@ def test_model_finds_held_out_boundaries(spark):
     assert good / found > 0.97 and good / true > 0.97
 
 
+def test_pairs_beyond_the_limit_keep_their_counts(spark, monkeypatch):
+    docs = corpus(1, 1500)
+    stats = sentences.statistics(spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string"), "text").cache()
+    whole = sentences.fit(stats)
+    monkeypatch.setattr(sentences, "CONTEXTS", 12)
+    small = sentences.fit(stats)
+    of = lambda m: {c: round(m.total[0][c] + m.total[1][c], 3) for c in m.total[0]}
+    assert of(small) == of(whole) and sum(of(whole).values()) == stats.filter("kind = 'c'").agg({"n": "sum"}).first()[0]
+    assert len(small.pair[1]) < len(whole.pair[1]) and small.tells.items() <= whole.tells.items()
+
+
 def test_posteriors_equal_enumeration():
     m = sentences.Model()
     m.event = {"a.": 0.3, "^a.": 0.9, "b.": 0.6, "^b.": 0.2}
