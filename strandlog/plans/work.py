@@ -59,6 +59,12 @@ def rmw_last(spark: SparkSession, d: str) -> DataFrame:
     return workload.read_modify_write(rows, even, 1_000_000).select("key", "idx", "value")
 
 
+def rmw_all(spark: SparkSession, d: str) -> DataFrame:
+    """As rmw_last, over all keys of the log."""
+    rows = log(spark, d)
+    return workload.read_modify_write(rows, rows, 1_000_000).select("key", "idx", "value")
+
+
 def zipf_mass(spark: SparkSession, d: str) -> DataFrame:
     return workload.zipf_mass(table(spark, d, "part"), "p_partkey")
 
@@ -206,7 +212,7 @@ def lstm_scores(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        client_throughput, avg_of_avgs, metric_rollups, repeated_runs, measured_means, op_mix, rmw_last, zipf_mass, gen_random_writes, gen_shuffled_slices,
+        client_throughput, avg_of_avgs, metric_rollups, repeated_runs, measured_means, op_mix, rmw_last, rmw_all, zipf_mass, gen_random_writes, gen_shuffled_slices,
         gen_sequential_writes, gen_uniform_reads, gen_zipf_reads, gen_scan_ranges, scan_workload, gen_operation_mix, gen_load_inserts, gen_values, clock_starts, vlog_roundtrip,
         generations_view, range_scan_stored, compaction_schedule, committed_reads, stream_apply, stream_latest, stream_spells, lstm_scores,
     )

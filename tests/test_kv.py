@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandlog.functions import scalars
 from strandlog.functions.keys import pad_key, unpad_key
 from strandlog.operators import compact, consensus, features, live, metrics, ordered, putlog, workload
+from strandlog.plans import work
 from strandlog.sources import csvio, vlog
 from strandlog.sources.generations import Generations
 
@@ -161,6 +162,13 @@ def test_lstm_matches_plain_python(spark):
     assert abs(got.score - (2 * h + 0.5)) < 1e-12
 
 
+def test_every_key_is_rewritten(spark, tmp_path):
+    rows = [(i, i % 7, f"v{i}") for i in range(40)]
+    spark.createDataFrame(rows, "event_id long, user_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.key, r.idx, r.value) for r in work.QUERIES["rmw_all"](spark, str(tmp_path)).collect()}
+    assert got == {(f"{u:010}", i + 1_000_000, f"v{i}") for u, i in {u: i for i, u, _ in rows}.items()}
+
+
 def test_workloads(spark):
     mix = workload.operation_mix(spark, 200, 0.25, 40).collect()
     assert sum(r.is_write for r in mix) == 50 and all(0 <= r.key < 40 for r in mix)
