@@ -6,6 +6,8 @@ Sizes are parameters and may be as large as a long; 0 rows give empty tables.
 
 from __future__ import annotations
 
+from math import log1p
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from strandlog.sources.shared import cut
 
 #: Skew of the Zipf reads, and keys of the scanned ranges.
 ZIPF_S, ZIPF_V = 1.01, 1.0
+#: Zipf weights are whole parts of one in ZIPF_UNIT, where the least rank has LEAST_WEIGHT of them at least; else the least rank gets ZIPF_UNIT.
+ZIPF_UNIT, LEAST_WEIGHT = 1e6, 100
 SCAN_WIDTH = 100
 
 
@@ -50,17 +54,28 @@ def zipf_mass(ranks: DataFrame, k: str) -> DataFrame:
     return ranks.select(F.col(k).alias("k"), F.round(zipf_weight(F.col(k)) / F.lit(total), 12).alias("p"))
 
 
-def zipf_reads(spark: SparkSession, n: int, keys: int, buckets: int = 4096) -> DataFrame:
+def zipf_scale(keys: int) -> float:
+    """Factor of the weights of ranks [0, keys): no rank is rounded away, and the sum stays below 2^61."""
+    least = (ZIPF_V + keys) ** -ZIPF_S
+    return ZIPF_UNIT if ZIPF_UNIT * least >= LEAST_WEIGHT else min(ZIPF_UNIT / least, 2**61 / (1 + log1p(keys)))
+
+
+def zipf_reads(spark: SparkSession, n: int, keys: int, buckets: int | None = None) -> DataFrame:
     """n reads of ranks [0, keys) by inverse distribution over whole-numbered weights.
 
-    Draws and ranks meet in buckets of the weight range; a heavy rank spans many buckets and so many tasks.
+    Draws and ranks meet in buckets of the weight range, as many as bound the ranks a draw meets; a heavy rank spans many
+    buckets and so many tasks. Draws have 32 bits where the weights' sum is far below that, else 62.
     """
-    ranks = spark.range(keys).select(F.col("id").alias("rank"), F.floor(zipf_weight(F.col("id")) * 1e6).cast("long").alias("w"))
+    scale = zipf_scale(keys)
+    ranks = spark.range(keys).select(F.col("id").alias("rank"), F.floor(zipf_weight(F.col("id")) * scale).cast("long").alias("w"))
     cum = cut(numbered(ranks, ["rank"], {"lo": F.col("w")}).select("rank", "lo", (F.col("lo") + F.col("w")).alias("hi")), "zipf")
     total = cum.agg(F.max("hi")).first()[0] or 1
-    width = max(1, -(-total // buckets))
-    spans = cum.filter("hi > lo").withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
-    draws = spark.range(n).select(F.col("id").alias("op_id"), (digest("zipf", F.col("id")) % F.lit(total)).alias("u"))
+    width = max(1, -(-total // (buckets or max(4096, keys // 64))))
+    spans = cum.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
+    drawn = digest("zipf", F.col("id"))
+    if scale != ZIPF_UNIT:
+        drawn = F.shiftleft(digest("zipf-high", F.col("id")).bitwiseAND(F.lit((1 << 30) - 1)), 32).bitwiseOR(drawn)
+    draws = spark.range(n).select(F.col("id").alias("op_id"), (drawn % F.lit(total)).alias("u"))
     met = draws.withColumn("b", F.floor(F.col("u") / width)).join(spans, "b").filter("u >= lo and u < hi")
     return met.select("op_id", F.col("rank").alias("key"))
 

@@ -3,6 +3,7 @@
 import random
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +170,15 @@ def test_every_key_is_rewritten(spark, tmp_path):
     assert got == {(f"{u:010}", i + 1_000_000, f"v{i}") for u, i in {u: i for i, u, _ in rows}.items()}
 
 
+def test_zipf_reads_reach_the_least_ranks(spark):
+    keys, n, far = 2_000_000, 20_000, 900_000
+    share = (1.0 + np.arange(keys)) ** -1.01
+    want = share[far:].sum() / share.sum()
+    got = [r.key for r in workload.zipf_reads(spark, n, keys).collect()]
+    assert len(got) == n and abs(sum(k >= far for k in got) / n - want) < 4 * (want / n) ** 0.5
+    assert all((1.0 + k) ** -1.01 * workload.zipf_scale(k) >= 99 for k in (1, 9000, 10**5, 25_600_000, 10**12))
+
+
 def test_workloads(spark):
     mix = workload.operation_mix(spark, 200, 0.25, 40).collect()
     assert sum(r.is_write for r in mix) == 50 and all(0 <= r.key < 40 for r in mix)
