@@ -204,8 +204,7 @@ def apply_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def append_batches(spark: SparkSession, d: str) -> DataFrame:
-    rows = log(spark, d).filter(F.col("idx") < BATCH_ROWS)
-    return consensus.sent_batch(rows, scalars.record_bytes(F.col("value")), BATCH_CAP).agg(F.count("*").alias("entries"), F.max("counter").alias("counter"))
+    return consensus.sent_batch(log(spark, d), scalars.record_bytes(F.col("value")), BATCH_CAP).agg(F.count("*").alias("entries"), F.max("counter").alias("counter"))
 
 
 def dedupe_seq(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandlog.functions import scalars
 from strandlog.functions.keys import pad_key, unpad_key
 from strandlog.operators import compact, consensus, features, live, metrics, ordered, putlog, workload
-from strandlog.plans import work
+from strandlog.plans import kv, work
 from strandlog.sources import csvio, vlog
 from strandlog.sources.generations import Generations
 
@@ -163,6 +163,13 @@ def test_lstm_matches_plain_python(spark):
     assert abs(got.score - (2 * h + 0.5)) < 1e-12
 
 
+def test_the_cap_alone_ends_a_batch(spark, tmp_path):
+    spark.createDataFrame([(i * 1000, 1, "v" * 20) for i in range(600)], "event_id long, user_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
+    r = kv.QUERIES["append_batches"](spark, str(tmp_path)).first()
+    n = max(n for n in range(600) if 50 * n * (n + 1) // 2 <= 3_000_000)
+    assert (r.entries, r.counter) == (n, 50 * n * (n + 1) // 2)
+
+
 def test_every_key_is_rewritten(spark, tmp_path):
     rows = [(i, i % 7, f"v{i}") for i in range(40)]
     spark.createDataFrame(rows, "event_id long, user_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
