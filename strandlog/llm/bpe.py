@@ -3,20 +3,21 @@
 Each partition is encoded by itself, in slices of bounded size:
   1. DuckDB splits the texts into words by the vocabulary's pattern. Its regular expressions know no
      look-ahead, so a run of white space is matched together with the word after it and parted afterwards.
-  2. Words that are no token themselves become rows (word, position, token), one per byte, and a recursive
-     query joins neighbours with the merge table and contracts each word's leftmost pair of minimum rank until no
-     pair is left. Each distinct word of a slice is merged once; a bounded cache serves the next slices.
-  3. An ordered aggregation turns the rows back into the ids of each word, and those into the ids of texts.
+  2. Words that are no token themselves are cut between bytes that stand side by side in no token, which no merge can
+     join, and become rows (piece, position, token), one per byte. A recursive query joins neighbours with the merge table
+     and contracts each piece's leftmost pair of minimum rank until no pair is left. It keeps the current row of each
+     position only, so that memory follows the bytes, not the rounds. Pieces of more than ``LONG`` bytes contract all places
+     of their minimum rank in one round, those that overlap from the left on: a merged pair ranks behind its parts, so that
+     this is what one contraction after the other comes to. Each distinct word of a slice is merged once; a bounded cache serves the next slices.
+  3. An ordered aggregation turns the rows back into the ids of each piece, and those into the ids of words and texts.
 
 No shuffle takes place, and a task holds one slice and the cache. Defined cases: null and empty texts give an
-empty list; a text of blanks is encoded like any other; look-alikes of special tokens are plain text. Words of more
-than ``LONG`` bytes, on which one contraction a round would take quadratic time, are merged with a heap over
-the same merge table, to the same result. Columns other than the two named are ignored.
+empty list; a text of blanks is encoded like any other; look-alikes of special tokens are plain text. Words may have any
+length; memory grows with the longest. Columns other than the two named are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import os
 from collections.abc import Iterator
@@ -27,9 +28,10 @@ import pyarrow.compute as pc
 
 DEFAULT_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
-#: Bytes of text in a slice, rows of a merge query, words in the cache, bytes of a word merged by the query.
-SLICE, ROWS, CACHE, LONG = 6_000_000, 400_000, 150_000, 1024
-MEMORY = "350MB"
+#: Bytes of text in a slice, rows of a merge query, words in the cache, bytes above which a piece contracts many places a round.
+SLICE, ROWS, CACHE, LONG = 6_000_000, 400_000, 150_000, 64
+#: Memory of the engine in MB, and bytes for each row beyond ``ROWS`` that a single word brings.
+MEMORY, ROW_BYTES = 350, 800
 END = 65535
 
 #: The characters with the White_Space property.
@@ -38,23 +40,47 @@ _W = "".join(f"\\x{{{ord(c):x}}}" for c in SPACES)
 #: The vocabulary's pattern, with the look-ahead for white space expressed by matching the word after a run, too.
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^" + _W + "\\p{L}\\p{N}]+|[" + _W + "]+ (?:\\p{L}+|\\p{N}+|[^" + _W + "\\p{L}\\p{N}]+)|[" + _W + "]+"
 
-#: One round: ``low`` is each word's leftmost pair of minimum rank (ranks are ordered as ids), ``pick`` adds
-#: what follows its second half. Rows: word w, place g, token tok, place nxt and token ntok of the neighbour.
+#: Rows: piece w, place g, token tok, place nxt and token ntok of the neighbour; a place that was merged away has token -1.
+#: One round: ``low`` is each piece's leftmost pair of minimum rank (ranks are ordered as ids), ``pick`` adds
+#: what follows its second half.
 MERGE = f"""
-with recursive bpe(it, g, w, tok, nxt, ntok) as (
-  select 0, g, w, tok, nxt, ntok from seeds
+with recursive bpe(g, w, tok, nxt, ntok) using key (g) as (
+  select g, w, tok, nxt, ntok from seeds
   union all
   (with low as materialized (
      select s.w, min(m.id::bigint << 32 | s.g) as k, arg_min(s.nxt, m.id::bigint << 32 | s.g) as second
      from bpe s join merges m on m.pair = s.tok::bigint * 65536 + s.ntok where s.ntok <> {END} group by s.w),
    pick as materialized (
      select l.w, (l.k >> 32)::int as id, (l.k & 4294967295)::int as first, l.second, s.nxt, s.ntok from low l join bpe s on s.g = l.second)
-   select s.it + 1, s.g, s.w, case when s.g = p.first then p.id else s.tok end, case when s.g = p.first then p.nxt else s.nxt end,
-     case when s.g = p.first then p.ntok when s.nxt = p.first then p.id else s.ntok end
-   from bpe s join pick p on s.w = p.w where s.g <> p.second)
+   select s.g, s.w, case when s.g = p.first then p.id when s.g = p.second then -1 else s.tok end, case when s.g = p.first then p.nxt else s.nxt end,
+     case when s.g = p.first then p.ntok when s.g = p.second then {END} when s.nxt = p.first then p.id else s.ntok end
+   from bpe s join pick p on s.w = p.w where s.tok >= 0)
 )
-select b.w, list(b.tok order by b.g) as ids
-from bpe b join (select w, max(it) as it from bpe group by w) l on b.w = l.w and b.it = l.it group by b.w order by b.w
+select w, list(tok order by g) as ids from bpe where tok >= 0 group by w order by w
+"""
+
+#: The same with all places of the minimum rank in a round. Pairs overlap only where both halves are the same token ('twin'),
+#: and of a run of those every other one from its start on is taken.
+MERGE_LONG = f"""
+with recursive bpe(g, w, tok, nxt, ntok) using key (g) as (
+  select g, w, tok, nxt, ntok from seeds
+  union all
+  (with found as materialized (
+     select s.g, s.w, s.nxt, s.tok = s.ntok as twin, m.id from bpe s join merges m on m.pair = s.tok::bigint * 65536 + s.ntok where s.ntok <> {END}),
+   least as materialized (select w, min(id) as id from found group by w),
+   low as materialized (select f.* from found f join least l on f.w = l.w and f.id = l.id),
+   runs as (select g, w, nxt, id, row_number() over o as rn, lag(nxt) over o is distinct from g as opens from low where twin window o as (partition by w order by g)),
+   pick as materialized (
+     select g, w, nxt, id from low where not twin union all
+     select g, w, nxt, id from (select *, max(case when opens then rn end) over (partition by w order by g) as since from runs) where (rn - since) % 2 = 0)
+   select s.g, s.w, case when f.g is not null then f.id when d.g is not null then -1 else s.tok end, case when f.g is not null then t.nxt when d.g is not null then -1 else s.nxt end,
+     case when d.g is not null then {END} when n.g is not null then n.id when f.g is not null then t.ntok else s.ntok end
+   from bpe s semi join least l on s.w = l.w
+     left join pick f on s.g = f.g left join pick d on s.g = d.nxt left join bpe t on t.g = f.nxt
+     left join pick n on n.g = case when f.g is not null then t.nxt else s.nxt end
+   where s.tok >= 0)
+)
+select w, list(tok order by g) as ids from bpe where tok >= 0 group by w order by w
 """
 
 
@@ -70,6 +96,12 @@ def _table(x) -> pa.Table:
     return x if isinstance(x, pa.Table) else x.read_all()
 
 
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each stretch of n."""
+    ends = np.cumsum(n)
+    return np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Encoder:
     """Encodes lists of texts; one per Python worker and vocabulary file."""
 
@@ -88,74 +120,77 @@ class Encoder:
             model = json.load(f)["model"]
         letters, vocab = byte_letters(), model["vocab"]
         self.byte_ids = np.zeros(256, dtype=np.int32)
-        self.whole: dict[str, bytes] = {}
         for token, i in vocab.items():
-            if all(c in letters for c in token):
-                raw = bytes(letters[c] for c in token)
-                if len(raw) == 1:
-                    self.byte_ids[raw[0]] = i
-                try:
-                    self.whole[raw.decode()] = np.int32(i).tobytes()
-                except UnicodeDecodeError:
-                    pass  # part of a character, never a word
+            if len(token) == 1 and token in letters:
+                self.byte_ids[letters[token]] = i
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.pairs = {(vocab[a], vocab[b]): vocab[a + b] for a, b in pairs}
-        ids = list(self.pairs.values())
-        if any(x >= y for x, y in zip(ids, ids[1:])):
+        ids = [vocab[a + b] for a, b in pairs]
+        if any(x >= y for x, y in zip(ids, ids[1:])) or any(vocab[x] >= i for p, i in zip(pairs, ids) for x in p):
             raise ValueError("ids must be in the order of the merges")
+        self.beside = np.zeros((256, 256), dtype=bool)  # bytes that stand side by side in some token
+        for a, b in pairs:
+            self.beside[letters[a[-1]], letters[b[0]]] = True
         self.cache: dict[str, bytes] = {}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
-        merges = pa.table({"pair": pa.array([a * 65536 + b for a, b in self.pairs], pa.int64()), "id": pa.array(ids, pa.int32())})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}MB", "temp_directory": ""})
+        merges = pa.table({"pair": pa.array([vocab[a] * 65536 + vocab[b] for a, b in pairs], pa.int64()), "id": pa.array(ids, pa.int32())})
         self.con.register("merge_rows", merges)
         self.con.execute("create table merges as select * from merge_rows")
         self.con.unregister("merge_rows")
 
-    def _merge(self, words: list[str]) -> list[bytes]:
-        """Ids of words by the recursive query."""
-        raw = [w.encode() for w in words]
-        size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+    def _contract(self, query: str, codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and their number, of pieces of ``size`` bytes that lie one behind the other in ``codes``."""
         ends = np.cumsum(size)
-        tok = self.byte_ids[np.frombuffer(b"".join(raw), dtype=np.uint8)]
-        g = np.arange(len(tok), dtype=np.int32)
-        nxt, ntok = g + 1, np.append(tok[1:], END).astype(np.int32)
+        g = np.arange(len(codes), dtype=np.int32)
+        nxt, ntok = g + 1, np.append(codes[1:], END).astype(np.int32)
         nxt[ends - 1], ntok[ends - 1] = -1, END
-        self.con.register("seeds", pa.table({"g": g, "w": np.repeat(np.arange(len(raw), dtype=np.int32), size), "tok": tok, "nxt": nxt.astype(np.int32), "ntok": ntok}))
-        out = _table(self.con.sql(MERGE).arrow()).column("ids").combine_chunks()
+        more = max(0, len(codes) - ROWS)
+        if more:
+            self.con.execute(f"set memory_limit = '{MEMORY + more * ROW_BYTES // 1_000_000}MB'")
+        self.con.register("seeds", pa.table({"g": g, "w": np.repeat(np.arange(len(size), dtype=np.int32), size), "tok": codes, "nxt": nxt.astype(np.int32), "ntok": ntok}))
+        out = _table(self.con.sql(query).arrow()).column("ids").combine_chunks()
         self.con.unregister("seeds")
+        if more:
+            self.con.execute(f"set memory_limit = '{MEMORY}MB'")
         out = out.chunk(0) if isinstance(out, pa.ChunkedArray) else out
-        flat, offsets = out.values.to_numpy().astype(np.int32), out.offsets.to_numpy()
-        return [flat[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
-
-    def _merge_long(self, word: str) -> bytes:
-        """Ids of one very long word: a heap of pairs by (rank, place) over a chain of places."""
-        tok = self.byte_ids[np.frombuffer(word.encode(), dtype=np.uint8)].tolist()
-        n = len(tok)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(self.pairs[p], i) for i, p in enumerate(zip(tok, tok[1:])) if p in self.pairs]
-        heapq.heapify(heap)
-        while heap:
-            new, i = heapq.heappop(heap)
-            j = after[i]
-            if tok[i] < 0 or j >= n or self.pairs.get((tok[i], tok[j])) != new:
-                continue
-            tok[i], tok[j], after[i] = new, -1, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (r := self.pairs.get((tok[a], tok[b]))) is not None:
-                    heapq.heappush(heap, (r, a))
-        return np.array([t for t in tok if t >= 0], dtype=np.int32).tobytes()
+        return out.values.to_numpy().astype(np.int32), np.diff(out.offsets.to_numpy())
+
+    def _merge(self, words: list[str]) -> list[bytes]:
+        """Ids of words by the recursive queries."""
+        raw = [w.encode() for w in words]
+        size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        joined = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        opens = np.ones(len(joined), dtype=bool)
+        opens[1:] = ~self.beside[joined[:-1], joined[1:]]
+        starts = np.cumsum(size) - size
+        opens[starts] = True
+        at = np.flatnonzero(opens)
+        n = np.diff(np.append(at, len(joined)))
+        codes = self.byte_ids[joined]
+        long = n > LONG
+        counts, parts = np.ones(len(n), dtype=np.int64), {}
+        for is_long, query in ((False, MERGE), (True, MERGE_LONG)):
+            chosen = np.flatnonzero((long == is_long) & (n > 1))
+            if len(chosen):
+                flat, counts[chosen] = self._contract(query, codes[_spread(at[chosen], n[chosen])], n[chosen])
+                parts[is_long] = flat
+        ends = np.cumsum(counts)
+        out = np.empty(ends[-1], dtype=np.int32)
+        single = n == 1
+        out[ends[single] - 1] = codes[at[single]]
+        for is_long, flat in parts.items():
+            chosen = np.flatnonzero((long == is_long) & (n > 1))
+            out[_spread(ends[chosen] - counts[chosen], counts[chosen])] = flat
+        edges = np.append((ends - counts)[np.searchsorted(at, starts)], ends[-1])
+        return [out[a:b].tobytes() for a, b in zip(edges, edges[1:])]
 
     def words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct words, as bytes of int32."""
         known: dict[str, bytes] = {}
         new, rows = [], 0
         for w in words:
-            ids = self.whole.get(w) or self.cache.get(w)
+            ids = self.cache.get(w)
             if ids is not None:
                 known[w] = ids
-            elif len(w) > LONG // 4 and len(w.encode()) > LONG:
-                known[w] = self._merge_long(w)
             else:
                 new.append(w)
         at = 0
@@ -169,7 +204,7 @@ class Encoder:
             known.update(zip(part, merged))
             if len(self.cache) + len(part) > CACHE:
                 self.cache.clear()
-            self.cache.update(zip(part[:CACHE], merged))
+            self.cache.update((w, ids) for w, ids in zip(part[:CACHE], merged) if len(w) <= LONG)
             at = end
         return known
 

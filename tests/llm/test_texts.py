@@ -45,16 +45,41 @@ def test_ids_equal_the_second_library_too():
     assert bpe.Encoder.of(P.path(bpe.VOCABULARY)).encode(pa.array(EDGES)).to_pylist() == want
 
 
-def test_recursion_alone_finds_every_token():
+def test_recursion_finds_every_token(reference):
     enc = bpe.Encoder.of(P.path(bpe.VOCABULARY))
-    words = [w for w in enc.whole if len(w.encode()) > 1][::7]
-    assert enc._merge(words) == [enc.whole[w] for w in words]
+    ids = {}
+    for raw, i in reference._mergeable_ranks.items():
+        try:
+            ids[raw.decode()] = i
+        except UnicodeDecodeError:
+            pass  # part of a character, never a word
+    words = list(ids)
+    assert len(words) > 40_000 and enc._merge(words) == [np.int32(ids[w]).tobytes() for w in words]
 
 
-def test_long_words_take_the_heap_to_the_same_end(reference):
+def test_long_runs_without_blanks(reference):
+    from tokenizers import Tokenizer
+
+    second = Tokenizer.from_file(P.path(bpe.VOCABULARY))
+    second.encode_special_tokens = True
+    r = random.Random(4)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = [
+        " ".join(letters(1000) for _ in range(100)), " ".join(letters(500) for _ in range(700)), " ".join(letters(300) for _ in range(1300)), letters(100_000), "a" * 100_000, "ab" * 30_000 + "aab" * 5000,
+        ",".join("".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(330)) for _ in range(400)), "".join(chr(r.randrange(0xE01, 0xE3A)) for _ in range(30_000)), "=" * 70_001 + " " * 50_000,
+    ]
+    got = bpe.Encoder.of(P.path(bpe.VOCABULARY)).encode(pa.array(texts)).to_pylist()
+    assert got == [reference.encode_ordinary(t) for t in texts] == [e.ids for e in second.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_both_queries_come_to_the_same_end(monkeypatch):
     enc = bpe.Encoder.of(P.path(bpe.VOCABULARY))
-    for w in ("aaaa" * 40, "abcabd" * 30, "ünïcødé" * 20, "x"):
-        assert enc._merge_long(w) == enc._merge([w])[0]
+    r = random.Random(9)
+    words = ["aaaa" * 40, "abcabd" * 30, "ünïcødé" * 20, "x", *("".join(r.choice("aab") for _ in range(r.randrange(1, 90))) for _ in range(200))]
+    want = enc._merge(words)
+    for long in (1, 10_000):
+        monkeypatch.setattr(bpe, "LONG", long)
+        assert enc._merge(words) == want
 
 
 def test_slices_and_cache_keep_results(spark, reference, monkeypatch):
