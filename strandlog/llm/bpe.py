@@ -8,10 +8,10 @@ Each partition is encoded by itself, in slices of bounded size:
      and contracts each piece's leftmost pair of minimum rank until no pair is left. It keeps the current row of each
      position only, so that memory follows the bytes, not the rounds. Pieces of more than ``LONG`` bytes contract all places
      of their minimum rank in one round, those that overlap from the left on: a merged pair ranks behind its parts, so that
-     this is what one contraction after the other comes to. Each distinct word of a slice is merged once; a bounded cache serves the next slices.
+     this is what one contraction after the other comes to. Each distinct word of a slice is merged once.
   3. An ordered aggregation turns the rows back into the ids of each piece, and those into the ids of words and texts.
 
-No shuffle takes place, and a task holds one slice and the cache. Defined cases: null and empty texts give an
+No shuffle takes place, and a task holds one slice. Defined cases: null and empty texts give an
 empty list; a text of blanks is encoded like any other; look-alikes of special tokens are plain text. Words may have any
 length; memory grows with the longest. Columns other than the two named are ignored.
 """
@@ -28,8 +28,8 @@ import pyarrow.compute as pc
 
 DEFAULT_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
-#: Bytes of text in a slice, rows of a merge query, words in the cache, bytes above which a piece contracts many places a round.
-SLICE, ROWS, CACHE, LONG = 6_000_000, 400_000, 150_000, 64
+#: Bytes of text in a slice, rows of a merge query, bytes above which a piece contracts many places a round.
+SLICE, ROWS, LONG = 6_000_000, 400_000, 64
 #: Memory of the engine in MB, and bytes for each row beyond ``ROWS`` that a single word brings.
 MEMORY, ROW_BYTES = 350, 800
 END = 65535
@@ -130,7 +130,6 @@ class Encoder:
         self.beside = np.zeros((256, 256), dtype=bool)  # bytes that stand side by side in some token
         for a, b in pairs:
             self.beside[letters[a[-1]], letters[b[0]]] = True
-        self.cache: dict[str, bytes] = {}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}MB", "temp_directory": ""})
         merges = pa.table({"pair": pa.array([vocab[a] * 65536 + vocab[b] for a, b in pairs], pa.int64()), "id": pa.array(ids, pa.int32())})
         self.con.register("merge_rows", merges)
@@ -154,11 +153,8 @@ class Encoder:
         out = out.chunk(0) if isinstance(out, pa.ChunkedArray) else out
         return out.values.to_numpy().astype(np.int32), np.diff(out.offsets.to_numpy())
 
-    def _merge(self, words: list[str]) -> list[bytes]:
-        """Ids of words by the recursive queries."""
-        raw = [w.encode() for w in words]
-        size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-        joined = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    def _merge(self, joined: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and their number, of words of ``size`` bytes that lie one behind the other, by the recursive queries."""
         opens = np.ones(len(joined), dtype=bool)
         opens[1:] = ~self.beside[joined[:-1], joined[1:]]
         starts = np.cumsum(size) - size
@@ -166,47 +162,32 @@ class Encoder:
         at = np.flatnonzero(opens)
         n = np.diff(np.append(at, len(joined)))
         codes = self.byte_ids[joined]
-        long = n > LONG
-        counts, parts = np.ones(len(n), dtype=np.int64), {}
-        for is_long, query in ((False, MERGE), (True, MERGE_LONG)):
-            chosen = np.flatnonzero((long == is_long) & (n > 1))
+        counts, parts = np.ones(len(n), dtype=np.int64), []
+        for chosen, query in ((np.flatnonzero((n > 1) & (n <= LONG)), MERGE), (np.flatnonzero(n > max(1, LONG)), MERGE_LONG)):
             if len(chosen):
                 flat, counts[chosen] = self._contract(query, codes[_spread(at[chosen], n[chosen])], n[chosen])
-                parts[is_long] = flat
-        ends = np.cumsum(counts)
-        out = np.empty(ends[-1], dtype=np.int32)
+                parts.append((chosen, flat))
+        begins = np.cumsum(counts) - counts
+        out = np.empty(counts.sum(), dtype=np.int32)
         single = n == 1
-        out[ends[single] - 1] = codes[at[single]]
-        for is_long, flat in parts.items():
-            chosen = np.flatnonzero((long == is_long) & (n > 1))
-            out[_spread(ends[chosen] - counts[chosen], counts[chosen])] = flat
-        edges = np.append((ends - counts)[np.searchsorted(at, starts)], ends[-1])
-        return [out[a:b].tobytes() for a, b in zip(edges, edges[1:])]
-
-    def words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words, as bytes of int32."""
-        known: dict[str, bytes] = {}
-        new, rows = [], 0
-        for w in words:
-            ids = self.cache.get(w)
-            if ids is not None:
-                known[w] = ids
-            else:
-                new.append(w)
-        at = 0
-        while at < len(new):
-            end, rows = at, 0
-            while end < len(new) and (end == at or rows < ROWS):
-                rows += 3 * len(new[end]) if not new[end].isascii() else len(new[end])
-                end += 1
-            part = new[at:end]
-            merged = self._merge(part)
-            known.update(zip(part, merged))
-            if len(self.cache) + len(part) > CACHE:
-                self.cache.clear()
-            self.cache.update((w, ids) for w, ids in zip(part[:CACHE], merged) if len(w) <= LONG)
+        out[begins[single]] = codes[at[single]]
+        for chosen, flat in parts:
+            out[_spread(begins[chosen], counts[chosen])] = flat
+        edges = np.append(begins[np.searchsorted(at, starts)], len(out))
+        return out, np.diff(edges)
+
+    def words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and their number, of distinct non-empty words, in batches of about ``ROWS`` bytes."""
+        offsets = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
+        flats, counts, at = [np.empty(0, dtype=np.int32)], [np.empty(0, dtype=np.int64)], 0
+        while at < len(words):
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + ROWS, side="right")) - 1)
+            flat, n = self._merge(data[offsets[at] : offsets[end]], np.diff(offsets[at : end + 1]))
+            flats.append(flat)
+            counts.append(n)
             at = end
-        return known
+        return np.concatenate(flats), np.concatenate(counts)
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         """Ids of non-null texts."""
@@ -216,27 +197,32 @@ class Encoder:
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         offsets = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.dictionary_encode()
-        index, found = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        index, found = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.string())
         # A run of white space gives up its last character, to the word after it or as a token, unless the text ends with it.
-        parts: dict[int, list[str]] = {}
-        for k, w in enumerate(found):
-            if len(w) > 1 and w[0] in SPACES and w[1] in SPACES:
-                n = len(w) - len(w.lstrip(SPACES))
-                parts[k] = [w[: n - 1], w[n - 1 :]]
+        parted = np.flatnonzero(pc.match_substring_regex(found, f"^[{_W}]{{2}}").to_numpy(zero_copy_only=False))
+        pieces: dict[str, int] = {}
+        halves, runs = [], []
+        for k, w in zip(parted.tolist(), found.take(pa.array(parted)).to_pylist()):
+            n = len(w) - len(w.lstrip(SPACES))
+            halves += [len(found) + pieces.setdefault(p, len(pieces)) for p in (w[: n - 1], w[n - 1 :])]
+            if n == len(w):
+                runs.append(k)
+        flat, n = self.words(pa.concat_arrays([found, pa.array(pieces, pa.string())]))
+        start = np.cumsum(n) - n
+        both = np.array(halves, dtype=np.int64)
+        start, n = np.append(start, len(flat) + np.cumsum(n[both])[1::2] - n[both].reshape(-1, 2).sum(1)), np.append(n, n[both].reshape(-1, 2).sum(1))
+        flat = np.append(flat, flat[_spread(start[both], n[both])])
         last = offsets[1:][offsets[1:] > offsets[:-1]] - 1
-        runs = np.array([k for k in parts if not found[k].strip(SPACES)], dtype=np.int64)
-        at_end = last[np.isin(index[last], runs)] if len(runs) else last[:0]
-        index[at_end] += len(found)  # the second half of the ids below holds the words as they are
-        ids = self.words(list({*(w for k, w in enumerate(found) if k not in parts), *(p for ps in parts.values() for p in ps), *(found[k] for k in runs)}))
-        held = [b"".join(ids[p] for p in parts[k]) if k in parts else ids[w] for k, w in enumerate(found)]
-        held += [ids.get(w, b"") for w in found]
-        flat = np.frombuffer(b"".join(held), dtype=np.int32)
-        size = np.fromiter(map(len, held), dtype=np.int64, count=len(held)) // 4
-        start = np.cumsum(size) - size
-        n = size[index]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        out = flat[np.repeat(start[index] - ends[:-1], n) + np.arange(ends[-1])]
-        return pa.ListArray.from_arrays(pa.array(ends[offsets].astype(np.int32)), pa.array(out))
+        whole = last[np.isin(index[last], np.array(runs, dtype=np.int64))]
+        kept = index[whole]
+        place = np.arange(len(found), dtype=np.int64)
+        place[parted] = len(n) - len(parted) + np.arange(len(parted))
+        index = place[index]
+        index[whole] = kept
+        size = n[index]
+        out = flat[_spread(start[index], size)]
+        ends = np.append(0, np.cumsum(size))
+        return pa.ListArray.from_arrays(pa.array(ends[offsets].astype(np.int32)), pa.array(out, pa.int32()))
 
 
 def _slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
