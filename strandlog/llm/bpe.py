@@ -251,3 +251,32 @@ def encode_corpus(df, doc: str = "doc_id", text: str = "text", directory: str =
     rows = df.select(F.col(doc).alias("_doc"), F.col(text).cast("string").alias("_text"))
     kind = rows.schema["_doc"].dataType.simpleString()
     return rows.mapInArrow(encode, f"_doc {kind}, ids array<int>").withColumnRenamed("_doc", doc)
+
+
+def decode_corpus(df, ids: str = "ids", directory: str = DEFAULT_DIR, vocabulary: str = VOCABULARY):
+    """``df`` with ``ids`` replaced by ``text``, the text they stand for; null ids give null. Ids that aren't of one text raise an error."""
+    from pyspark.sql import functions as F
+
+    path = os.path.join(directory, vocabulary)
+    others = [c for c in df.columns if c != ids]
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        letters = byte_letters()
+        raw = [b""] * (max(vocab.values()) + 1)
+        for token, i in vocab.items():
+            raw[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        start, data = np.cumsum(size) - size, np.frombuffer(b"".join(raw), dtype=np.uint8)
+        for b in batches:
+            lists = b.column(ids)
+            flat = lists.flatten().to_numpy().astype(np.int64)
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            ends = np.append(0, np.cumsum(size[flat]))[np.append(0, np.cumsum(n))]
+            text = pa.Array.from_buffers(pa.string(), len(b), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[_spread(start[flat], size[flat])])])
+            text.validate(full=True)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pc.if_else(lists.is_valid(), text, pa.scalar(None, pa.string()))], names=[*others, "text"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*others).schema.fields)
+    return df.select(*others, F.col(ids).cast("array<int>").alias(ids)).mapInArrow(decode, f"{schema}, text string")

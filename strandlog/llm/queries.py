@@ -52,6 +52,12 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"))
 
 
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Of every document the number of its bytes and a digest, of the text that its ids stand for."""
+    back = bpe.decode_corpus(p7_ids(spark, d))
+    return back.select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.md5("text").alias("digest"))
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_corpus(table(spark, d, "documents"), table(spark, d, "container_sizes"))
 
@@ -65,7 +71,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_top, p3_percentiles, p3_within, p6_found, p6_rates, p7_ids, p8_containers, p8_fill, p9_found)
+    f.__name__: f for f in (p2_found, p2_top, p3_percentiles, p3_within, p6_found, p6_rates, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found)
 }
 
 _COUNTS = """
@@ -84,6 +90,7 @@ v as (select workload, run_day, 'read_latency_ns' as metric from o where r >= 0
       select workload, run_day, 'write_latency_ns' from o where w >= 0 union all select workload, run_day, 'value_size' from o where s >= 0)
 select 'day' as scope, workload, run_day, metric, cast(count(*) as bigint) as n, true as within from v group by all
 union all select 'all', workload, cast(null as date), metric, cast(count(*) as bigint), true from v group by workload, metric""",
+    "p7_decoded": "select doc_id, cast(octet_length(encode(coalesce(text, ''))) as bigint) as bytes, md5(coalesce(text, '')) as digest from documents",
     "p6_found": """
 with p as (select recv_id, lpad(key, 10, '0') as pkey from put_request where key is not null and recv_id is not null),
 r as (select *, min(recv_id) over (partition by pkey) as first from p)

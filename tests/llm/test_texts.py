@@ -95,6 +95,9 @@ def test_slices_and_cache_keep_results(spark, reference, monkeypatch):
     got = {r.doc_id: r.ids for r in bpe.encode_corpus(df).collect()}
     assert got == {i: reference.encode_ordinary(t or "") for i, t in rows}
     assert bpe.encode_corpus(df.limit(0)).collect() == []
+    coded = bpe.encode_corpus(df).unionByName(spark.createDataFrame([(-1, None)], "doc_id long, ids array<int>"))
+    assert {r.doc_id: r.text for r in bpe.decode_corpus(coded).collect()} == {-1: None} | {i: t or "" for i, t in rows}
+    assert bpe.decode_corpus(coded.limit(0)).collect() == []
 
 
 def check_patterns(count, capacity):
