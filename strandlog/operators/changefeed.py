@@ -5,6 +5,10 @@ number), and every change that sets a value also appends an *insert* (key, seque
 kinds go to separate files. A reader takes the inserts without those for whose key a later delete exists.
 Nothing is rewritten on ingest, batches may arrive in any order, and applying a batch twice changes nothing.
 
+A sequence number is (idx, term). Inside a batch only rows of the greatest term of a (group, idx) are appended. As a later
+batch may bring a greater one, every batch also appends its *terms* (group, idx, term), of entries that change nothing
+too. With more than one batch the reader takes the positions at which these differ and drops, of inserts and deletes, the rows of lesser terms.
+
 Defined cases
     null idx or null group: the row is ignored (it has no place in the order).
     several terms for one (group, idx): only rows of the greatest term hold; a null term is the least.
@@ -19,12 +23,14 @@ Defined cases
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlog.functions.keys import clean_op, pad_key
 from strandlog.operators.hot import HOT_PARTS, hot_rows
-from strandlog.sources.shared import cut, new_path
+from strandlog.sources.shared import cut, list_names, new_path
 
 #: Operations that set a value, and the one that removes a key.
 SETTING_OPS = ("put", "insert", "update")
@@ -33,56 +39,72 @@ REMOVING_OP = "delete"
 TRIMMED = "NULL"
 
 
+def real_value(value: Column) -> Column:
+    """Of repeated entries the value to keep, as an aggregate."""
+    return F.coalesce(F.max(F.when(value != TRIMMED, value)), F.max(value))
+
+
 def entries(feed: DataFrame) -> DataFrame:
-    """The entries that hold: group_id, idx, kind ('set', 'remove'), key (padded), value.
+    """The entries that hold inside a batch: group_id, idx, term, kind ('set', 'remove', 'none'), key (padded), value.
 
     Repeats collapse before the first shuffle, so that an entry repeated in a third of all rows costs no
     more than one row per input partition; then the greatest term of each (group, idx) is chosen.
     """
     op = clean_op("op")
-    kind = F.when(op.isin(*SETTING_OPS), "set").when(op == REMOVING_OP, "remove").otherwise("none")
-    value = F.col("value")
+    kind = F.when(F.col("key").isNull(), "none").when(op.isin(*SETTING_OPS), "set").when(op == REMOVING_OP, "remove").otherwise("none")
     once = (
         feed.filter(F.col("idx").isNotNull() & F.col("group_id").isNotNull())
-        .select("group_id", "idx", F.coalesce("term", F.lit(-1)).alias("term"), kind.alias("kind"), pad_key("key").alias("key"), value.alias("value"))
+        .select("group_id", "idx", F.coalesce("term", F.lit(-1)).alias("term"), kind.alias("kind"), pad_key("key").alias("key"), "value")
         .groupBy("group_id", "idx", "term", "kind", "key")
-        .agg(F.coalesce(F.max(F.when(F.col("value") != TRIMMED, F.col("value"))), F.max("value")).alias("value"))
+        .agg(real_value(F.col("value")).alias("value"))
     )
     newest = F.max("term").over(Window.partitionBy("group_id", "idx"))
-    return (
-        once.withColumn("newest", newest)
-        .filter((F.col("term") == F.col("newest")) & (F.col("kind") != "none") & F.col("key").isNotNull())
-        .select("group_id", "idx", "kind", "key", "value")
-    )
+    return once.withColumn("newest", newest).filter(F.col("term") == F.col("newest")).drop("newest")
 
 
 def changes(held: DataFrame) -> DataFrame:
-    """The rows to append for entries: content ('delete' or 'insert'), group_id, key, seq, value."""
-    remove = F.struct(F.lit("delete").alias("content"), F.lit(None).cast("string").alias("value"))
-    insert = F.struct(F.lit("insert").alias("content"), F.col("value"))
-    rows = F.when(F.col("kind") == "set", F.array(remove, insert)).otherwise(F.array(remove))
-    return held.select("group_id", "key", F.col("idx").alias("seq"), F.explode(rows).alias("c")).select("group_id", "key", "seq", "c.value", "c.content")
+    """The rows to append for entries: content ('delete', 'insert' or 'term'), group_id, key, seq, term, value."""
+    part = lambda content, value: F.struct(F.lit(content).alias("content"), value.alias("value"))
+    nothing = F.lit(None).cast("string")
+    term, remove, insert = part("term", nothing), part("delete", nothing), part("insert", F.col("value"))
+    rows = F.when(F.col("kind") == "set", F.array(term, remove, insert)).when(F.col("kind") == "remove", F.array(term, remove)).otherwise(F.array(term))
+    each = held.select("group_id", "key", F.col("idx").alias("seq"), "term", F.explode(rows).alias("c"))
+    return each.select("group_id", F.when(F.col("c.content") != "term", F.col("key")).alias("key"), "seq", "term", "c.value", "c.content")
 
 
 class EqualityDeleteTable:
-    """A merge-on-read table below ``path``: content=insert/ and content=delete/."""
+    """A merge-on-read table below ``path``: batch=.../content=insert/, content=delete/ and content=term/."""
 
-    SCHEMA = "group_id int, key string, seq int, value string, content string"
+    SCHEMA = "group_id int, key string, seq int, term int, value string, batch string, content string"
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
-    def append(self, held: DataFrame) -> "EqualityDeleteTable":
-        """Adds the changes of a batch of entries; both kinds are written in one pass."""
-        changes(held).write.mode("append").partitionBy("content").parquet(self.path)
+    def append(self, held: DataFrame, batch: str | None = None) -> "EqualityDeleteTable":
+        """Adds the changes of a batch of entries in one pass. A batch with a name replaces what was appended under it, so that a
+        batch repeated after a failure counts once."""
+        changes(held).write.mode("overwrite").partitionBy("content").parquet(f"{self.path}/batch={batch or uuid.uuid4().hex}")
         return self
 
     def _files(self, content: str) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path).filter(F.col("content") == content).drop("content")
-
-    def compact_deletes(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path).filter(F.col("content") == content).drop("content", "batch")
+
+    def superseded(self) -> DataFrame | None:
+        """(group_id, seq, top) where batches brought several terms; None if there was one batch only, which holds no such rows."""
+        if len([x for x in list_names(self.spark, self.path) if x.startswith("batch=")]) < 2:
+            return None
+        per = self._files("term").groupBy("group_id", "seq").agg(F.min("term").alias("least"), F.max("term").alias("top"))
+        return cut(per.filter("least < top").select(F.col("group_id").alias("_g"), F.col("seq").alias("_s"), "top"), "superseded")
+
+    @staticmethod
+    def _holding(rows: DataFrame, over: DataFrame | None) -> DataFrame:
+        if over is None:
+            return rows
+        return rows.join(over, (F.col("group_id") == F.col("_g")) & (F.col("seq") == F.col("_s")) & (F.col("term") < F.col("top")), "left_anti")
+
+    def compact_deletes(self, over: DataFrame | None = None) -> DataFrame:
         """Per key the greatest delete and the number of deletes, combined before the shuffle."""
-        return self._files("delete").groupBy("group_id", "key").agg(F.max("seq").alias("gone"), F.count("*").alias("n"))
+        return self._holding(self._files("delete"), over).groupBy("group_id", "key").agg(F.max("seq").alias("gone"), F.count("*").alias("n"))
 
     def read(self, parts: int = HOT_PARTS) -> DataFrame:
         """The live rows: group_id, key, idx, value.
@@ -91,7 +113,8 @@ class EqualityDeleteTable:
         shuffle; the other rows are anti-joined with the deletes by key. Several inserts of one key at one
         sequence number are one row.
         """
-        inserts, deletes = self._files("insert"), cut(self.compact_deletes(), "deletes")
+        over = self.superseded()
+        inserts, deletes = self._holding(self._files("insert"), over), cut(self.compact_deletes(over), "deletes")
         total = deletes.agg(F.sum("n")).first()[0] or 0
 
         def without_later(rows: DataFrame, gone: DataFrame) -> DataFrame:
@@ -101,7 +124,7 @@ class EqualityDeleteTable:
 
         hot = hot_rows(deletes, "n", total, parts)
         live = without_later(without_later(inserts, hot), deletes)
-        return live.groupBy("group_id", "key", F.col("seq").alias("idx")).agg(F.max("value").alias("value"))
+        return live.groupBy("group_id", "key", F.col("seq").alias("idx")).agg(real_value(F.col("value")).alias("value"))
 
 
 def apply_feed(feed: DataFrame, path: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlog.operators import changefeed, redelivery, skew
+from strandlog.sources.shared import new_path
 from strandlog.sources.tables import table
 
 #: Share of the rows that makes a key busy.
@@ -22,6 +23,15 @@ def p1_state(spark: SparkSession, d: str) -> DataFrame:
     return changefeed.apply_feed(table(spark, d, "put_log"))
 
 
+def p1_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """The same state from five batches that part the entries, and the rows of one entry, at random; one of them comes twice."""
+    log = table(spark, d, "put_log").withColumn("_batch", F.pmod(F.xxhash64("arrived_ts", "op", "term", "value", "file_version"), F.lit(5)))
+    state = changefeed.EqualityDeleteTable(spark, new_path(spark, "changes"))
+    for i in (3, 0, 4, 1, 2, 0):
+        state.append(changefeed.entries(log.filter(F.col("_batch") == i)))
+    return state.read()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return redelivery.copies(table(spark, d, "put_request"))
 
@@ -56,7 +66,7 @@ def p5_put_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_state, p4_found, p4_kept, p4_ranges, p5_found, p5_get_profile, p5_put_profile)
+    f.__name__: f for f in (p1_found, p1_state, p1_incremental, p4_found, p4_kept, p4_ranges, p5_found, p5_get_profile, p5_put_profile)
 }
 
 _P1 = """
@@ -96,6 +106,7 @@ where n >= {BUSY} * (select count(*) from {tbl} where key is not null)"""
 ORACLE: dict[str, str] = {
     "p1_found": _P1 + "select group_id, key, idx from last where rn = 1 and kind = 'set'",
     "p1_state": _P1 + "select group_id, key, idx, value from last where rn = 1 and kind = 'set'",
+    "p1_incremental": _P1 + "select group_id, key, idx, value from last where rn = 1 and kind = 'set'",
     "p4_found": _DELIVERY + "select recv_id from r where again",
     "p4_kept": _DELIVERY + "select recv_id, client_id, seq_id, key, value, op from r where not again or again is null",
     "p4_ranges": """

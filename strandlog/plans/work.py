@@ -14,10 +14,12 @@ from strandlog.plans import feeds
 from strandlog.plans.kv import log
 from strandlog.sources import vlog
 from strandlog.sources.generations import Generations
-from strandlog.sources.shared import new_path
+from strandlog.sources.shared import age_files, new_path
 from strandlog.sources.tables import table
 from strandlog.streaming import latest as streams
 
+#: Seconds after which a request counts as unanswered.
+TIMEOUT = 3
 #: Sizes of the generated workloads.
 OPS, KEYS, CLIENTS = 20_000, 5_000, 16
 
@@ -159,23 +161,24 @@ def committed_reads(spark: SparkSession, d: str) -> DataFrame:
     return live.latest(consensus.to_apply(log(spark, d), F.lit(-1), F.lit(commit)))
 
 
-def _spooled(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
-    src = table(spark, d, "put_log")
+def _spooled(spark: SparkSession, src: DataFrame, order: str, files: int = 16) -> DataFrame:
+    """A stream that reads a table in the order of a column, one of ``files`` files a micro-batch."""
     path = new_path(spark, "spool")
-    src.repartition(4, "group_id", "idx").write.parquet(path)
-    return streams.log_stream(spark, path, src.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), 1), path
+    src.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
+    age_files(spark, path)
+    return streams.log_stream(spark, path, src.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), 1)
 
 
 def stream_apply(spark: SparkSession, d: str) -> DataFrame:
-    """The put log applied as a stream of micro-batches to a merge-on-read table."""
-    stream, _ = _spooled(spark, d)
+    """The put log applied in order of arrival as a stream of micro-batches to a merge-on-read table."""
+    stream = _spooled(spark, table(spark, d, "put_log"), "arrived_ts")
     target = new_path(spark, "applied")
     streams.apply_stream(stream, target, new_path(spark, "applied-checkpoint")).awaitTermination()
     return streams.read_applied(spark, target).select("group_id", "key", "idx")
 
 
 def _drained(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what is there and returns what it put out last for each key, or all rows in append mode."""
+    """Runs a stream over what is there and returns all rows that it put out, with the number of their ``batch``."""
     out = new_path(spark, "drained")
 
     def put(batch: DataFrame, number: int) -> None:
@@ -186,16 +189,32 @@ def _drained(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
 
 
 def stream_latest(spark: SparkSession, d: str) -> DataFrame:
-    """Newest index per key from the streaming aggregate."""
-    stream, _ = _spooled(spark, d)
-    rows = _drained(spark, streams.latest_stream(stream), "update")
-    return rows.groupBy("group_id", "key").agg(F.max("idx").alias("idx"))
+    """Present keys and the index of their newest change, as the streaming aggregate put them out last."""
+    rows = _drained(spark, streams.latest_stream(_spooled(spark, table(spark, d, "put_log"), "arrived_ts")), "update")
+    last = rows.groupBy("group_id", "key").agg(F.max_by(F.struct("idx", "kind"), "batch").alias("m"))
+    return last.filter("m.kind = 'set'").select("group_id", "key", "m.idx")
 
 
 def stream_spells(spark: SparkSession, d: str) -> DataFrame:
-    """Busy spells per group whose end the watermark has passed."""
-    stream, _ = _spooled(spark, d)
-    return _drained(spark, streams.busy_spells(stream.withColumn("at", F.col("arrived_ts").cast("timestamp")), "at"), "append").select("group_id", "started", "ended", "n")
+    """Busy spells per group, without a gap of five minutes in arrivals, whose end the watermark has passed."""
+    stream = _spooled(spark, table(spark, d, "put_log").filter("arrived_ts is not null"), "arrived_ts")
+    return _drained(spark, streams.busy_spells(stream.withColumn("at", F.col("arrived_ts").cast("timestamp")), "at"), "append").select("group_id", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "n")
+
+
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """The requests (client, number) that a stream of deliveries lets through once each."""
+    src = table(spark, d, "put_request").filter("client_id is not null and seq_id is not null and recv_ts is not null")
+    stream = _spooled(spark, src.select("client_id", "seq_id", F.col("recv_ts").cast("timestamp").alias("at")), "at", 4)
+    return _drained(spark, streams.once_per_session(stream, "at", "36500 days"), "append").select("client_id", "seq_id")
+
+
+def stream_timeouts(spark: SparkSession, d: str) -> DataFrame:
+    """Reads by whether their answer was logged within the time; those near the end of the stream wait for the watermark."""
+    src = table(spark, d, "get_request").filter("req_ts is not null").groupBy("req_id").agg(F.min("req_ts").cast("timestamp").alias("sent"), F.min("logged_ts").cast("timestamp").alias("answered"))
+    rows = src.select(F.col("req_id").alias("client_id"), F.lit(0).cast("long").alias("seq_id"), "sent", "answered")
+    asked, answers = rows.drop("answered"), rows.filter("answered is not null").drop("sent")
+    joined = streams.timeouts(_spooled(spark, asked, "sent", 1), _spooled(spark, answers, "answered", 1), "sent", "answered", TIMEOUT)
+    return _drained(spark, joined, "append").filter("status = 'OK'").agg(F.count("*").alias("in_time"), F.max(F.unix_micros("answered") - F.unix_micros("sent")).alias("longest_us"))
 
 
 def lstm_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -214,7 +233,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         client_throughput, avg_of_avgs, metric_rollups, repeated_runs, measured_means, op_mix, rmw_last, rmw_all, zipf_mass, gen_random_writes, gen_shuffled_slices,
         gen_sequential_writes, gen_uniform_reads, gen_zipf_reads, gen_scan_ranges, scan_workload, gen_operation_mix, gen_load_inserts, gen_values, clock_starts, vlog_roundtrip,
-        generations_view, range_scan_stored, compaction_schedule, committed_reads, stream_apply, stream_latest, stream_spells, lstm_scores,
+        generations_view, range_scan_stored, compaction_schedule, committed_reads, stream_apply, stream_latest, stream_spells, stream_sessions, stream_timeouts, lstm_scores,
     )
 }
 
@@ -287,5 +306,16 @@ select lpad(cast(user_id as varchar), 10, '0') as key, max(event_id) as idx from
     "vlog_roundtrip": "select lpad(coalesce(key, ''), 10, '0') as key, count(*) as n, cast(sum(coalesce(octet_length(encode(value)), 0)) as bigint) as value_bytes, cast(sum(coalesce(length(value), 0)) as bigint) as chars, max(coalesce(idx, 0)) as last_idx from value_log group by 1",
     "generations_view": "select lpad(cast(user_id as varchar), 10, '0') as key, event_id as idx, props as value from events qualify row_number() over (partition by user_id order by event_id desc) = 1",
     "stream_apply": feeds.ORACLE["p1_found"],
-    "stream_latest": "select group_id, lpad(key, 10, '0') as key, max(idx) as idx from put_log where idx is not null and key is not null and lower(regexp_replace(op, '\\s+', '', 'g')) in ('put', 'insert', 'update') group by 1, 2",
+    "stream_latest": """
+with e as (select group_id, idx, lpad(key, 10, '0') as key, lower(regexp_replace(op, '\\s+', '', 'g')) as op from put_log where idx is not null and key is not null)
+select group_id, key, idx from (select distinct on (group_id, key) group_id, key, idx, op from e where op in ('put', 'insert', 'update', 'delete') order by group_id, key, idx desc, op = 'delete') where op <> 'delete'""",
+    "stream_spells": """
+with a as (select group_id, epoch_us(arrived_ts) as t from put_log where arrived_ts is not null),
+b as (select *, coalesce(t - lag(t) over w > 300000000, true) as opens from a window w as (partition by group_id order by t)),
+c as (select *, sum(opens::int) over (partition by group_id order by t rows unbounded preceding) as spell from b)
+select group_id, min(t) as started_us, max(t) + 300000000 as ended_us, count(*) as n from c group by group_id, spell having max(t) + 300000000 <= (select max(t) from a) - 600000000""",
+    "stream_sessions": "select distinct client_id, seq_id from put_request where client_id is not null and seq_id is not null and recv_ts is not null",
+    "stream_timeouts": f"""
+with r as (select req_id, min(req_ts) as sent, min(logged_ts) as answered from get_request where req_ts is not null group by 1)
+select count(*) as in_time, max(epoch_us(answered) - epoch_us(sent)) as longest_us from r where answered between sent and sent + interval {TIMEOUT} second""",
 }

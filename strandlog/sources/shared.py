@@ -14,10 +14,13 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_root(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
 
-    Where that is unset, as in tests on one machine, a temporary folder is made and set.
+    Where that is unset on a local master, as in tests, a temporary folder is made and set. On any other master that would
+    be a folder of each machine's own, of which a reader would see a part, hence an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="strandlog-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -46,10 +49,36 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
     return spark.read.schema(schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders directly below a folder; none if it isn't there."""
+    fs, p = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def age_files(spark: SparkSession, path: str) -> None:
+    """Gives the files of a folder rising times of change in the order of their names, by which streams read them."""
+    fs, _ = _file_system(spark, path)
+    names = [n for n in list_names(spark, path) if n[0] not in "_."]
+    for i, name in enumerate(names):
+        fs.setTimes(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), 1_700_000_000_000 + 1000 * i, -1)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes the intermediate tables of all queries whose results have been consumed; results not consumed yet are lost."""
+    for s, path in _written:
+        if s is spark:
+            drop_path(spark, path)
+    _written[:] = [x for x in _written if x[0] is not spark]
 
 
 def _clean() -> None:

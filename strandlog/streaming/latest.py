@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strandlog.functions.keys import clean_op, pad_key
-from strandlog.functions.scalars import TERM_LOG
-from strandlog.operators.changefeed import EqualityDeleteTable, entries
+from strandlog.operators.changefeed import REMOVING_OP, SETTING_OPS, EqualityDeleteTable, entries
 
 
 def log_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 16) -> DataFrame:
@@ -20,16 +19,11 @@ def log_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: i
 
 
 def apply_stream(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Appends each micro-batch's changes to a merge-on-read table.
-
-    A batch goes to a folder of its own that is overwritten when the batch is repeated after a failure, so that each batch
-    counts once. Entries of one (group, idx) with different terms must come in one batch or in order of their terms.
-    """
+    """Appends each micro-batch's changes to a merge-on-read table, under the number of the batch, so that a batch that is
+    repeated after a failure counts once. Rows may arrive in any order, those of one entry in different batches too."""
 
     def put(batch: DataFrame, number: int) -> None:
-        from strandlog.operators.changefeed import changes
-
-        changes(entries(batch)).write.mode("overwrite").partitionBy("content").parquet(f"{table}/batch={number}")
+        EqualityDeleteTable(batch.sparkSession, table).append(entries(batch), str(number))
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -40,9 +34,15 @@ def read_applied(spark: SparkSession, table: str) -> DataFrame:
 
 
 def latest_stream(stream: DataFrame) -> DataFrame:
-    """Newest (idx, value) per group and padded key, as a streaming aggregate with state in the store."""
-    puts = stream.filter((clean_op("op") != TERM_LOG.lower()) & clean_op("op").isin("put", "insert", "update") & F.col("key").isNotNull() & F.col("idx").isNotNull())
-    return puts.groupBy("group_id", pad_key("key").alias("key")).agg(F.max(F.struct("idx", "value")).alias("m")).select("group_id", "key", "m.idx", "m.value")
+    """Newest change per group and padded key, as a streaming aggregate with state in the store: group_id, key, idx, kind, value.
+
+    For logs whose entries are final (of committed ones a (group, idx) has one term). A key whose ``kind`` is 'remove' is absent;
+    the row stays, or an older set that arrives later would bring it back.
+    """
+    op = clean_op("op")
+    kind = F.when(op.isin(*SETTING_OPS), "set").when(op == REMOVING_OP, "remove")
+    changes = stream.withColumn("kind", kind).filter("kind is not null and key is not null and idx is not null")
+    return changes.groupBy("group_id", pad_key("key").alias("key")).agg(F.max(F.struct("idx", "kind", "value")).alias("m")).select("group_id", "key", "m.idx", "m.kind", "m.value")
 
 
 def once_per_session(stream: DataFrame, ts: str, delay: str = "1 hour") -> DataFrame:
@@ -61,4 +61,4 @@ def timeouts(requests: DataFrame, answers: DataFrame, sent: str, answered: str,
     q = requests.withWatermark(sent, "1 minute").select("client_id", "seq_id", F.col(sent).alias("sent"))
     a = answers.withWatermark(answered, "1 minute").select(F.col("client_id").alias("_c"), F.col("seq_id").alias("_s"), F.col(answered).alias("answered"))
     near = (F.col("client_id") == F.col("_c")) & (F.col("seq_id") == F.col("_s")) & (F.col("answered") >= F.col("sent")) & (F.col("answered") <= F.col("sent") + F.expr(f"interval {seconds} seconds"))
-    return q.join(a, near, "leftOuter").select("client_id", "seq_id", "sent", F.when(F.col("answered").isNull(), "defeat").otherwise("OK").alias("status"))
+    return q.join(a, near, "leftOuter").select("client_id", "seq_id", "sent", "answered", F.when(F.col("answered").isNull(), "defeat").otherwise("OK").alias("status"))

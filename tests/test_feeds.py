@@ -65,6 +65,32 @@ def test_feed_in_batches_and_twice(spark, tmp_path):
     assert result(table.read()) == state(rows)
 
 
+def test_feed_in_random_batches(spark):
+    r = random.Random(11)
+    for seed in range(6):
+        rows = feed(seed, 120)
+        parts = [[] for _ in range(r.choice([2, 3, 5]))]
+        for row in rows:
+            r.choice(parts).append(row)
+        table = changefeed.EqualityDeleteTable(spark, changefeed.new_path(spark, "t"))
+        for part in [*parts, parts[0]]:
+            table.append(changefeed.entries(spark.createDataFrame(part, FEED)))
+        assert result(table.read()) == state(rows)
+
+
+def test_later_batches_of_other_terms_and_payloads(spark):
+    def of(*batches):
+        table = changefeed.EqualityDeleteTable(spark, changefeed.new_path(spark, "t"))
+        for i, rows in enumerate(batches):
+            table.append(changefeed.entries(spark.createDataFrame([(*x, 1, "x") for x in rows], FEED)), str(i))
+        return result(table.read())
+
+    key = pad("k")
+    assert of([(0, 1, 1, "Put", "old", "a")], [(0, 1, 2, "Put", "k", "b")]) == {(0, key): (1, "b")}
+    assert of([(0, 1, 1, "Put", "k", "a")], [(0, 2, 1, "Delete", "k", None)], [(0, 2, 2, "TermLog", None, None)]) == {(0, key): (1, "a")}
+    assert of([(0, 1, 1, "Put", "k", "NULL")], [(0, 1, 1, "Put", "k", "123")]) == {(0, key): (1, "123")}
+
+
 def test_feed_with_a_hot_key_and_few_hot_parts(spark):
     rows = [(0, i, 1, "Put" if i % 7 else "Delete", "hot" if i % 3 else str(i), f"v{i}", 1, "x") for i in range(300)]
     table = changefeed.EqualityDeleteTable(spark, changefeed.new_path(spark, "t")).append(changefeed.entries(spark.createDataFrame(rows, FEED)))

@@ -33,8 +33,9 @@ def drain(spark, df, mode, name):
 
 def test_latest_stream(spark):
     df, stream = spool(spark)
-    got = {(r.group_id, r.key): r.idx for r in drain(spark, streams.latest_stream(stream), "complete", "latest_rows")}
-    want = {(r.group_id, r.key): r.i for r in df.filter("op = 'Put'").groupBy("group_id", F.lpad("key", 10, "0").alias("key")).agg(F.max("idx").alias("i")).collect()}
+    got = {(r.group_id, r.key): (r.idx, r.kind) for r in drain(spark, streams.latest_stream(stream), "complete", "latest_rows")}
+    last = df.groupBy("group_id", F.lpad("key", 10, "0").alias("key")).agg(F.max(F.struct("idx", "op")).alias("m"))
+    want = {(r.group_id, r.key): (r.m.idx, "set" if r.m.op == "Put" else "remove") for r in last.collect()}
     assert got == want
 
 
