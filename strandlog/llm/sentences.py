@@ -22,10 +22,12 @@ repeated rows. An empty corpus gives an empty model and no rows. Columns other t
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +52,6 @@ OPENERS = "\"'“„‘‚«‹「『（([【《¿¡*_"
 UNMARKED = "฀-໿က-႟ក-៿"
 
 TOKEN = re.compile(r"\S+")
-ENDS = re.compile(f"[{re.escape(TERMINAL)}]+[{re.escape(CLOSERS)}]*$")
 INNER = re.compile(f"(?:[{WIDE}…]|[!?](?=[^\\x00-\\x7f]))[{re.escape(TERMINAL)}]*[{re.escape(CLOSERS.replace('“', ''))}]*")
 #: A forgotten blank: a mark between two letters, the second a capital (or of a script without case).
 JOINED = re.compile(f"(?<=[^\\W\\d_]{{2}})[.!?…؟]+[{re.escape(CLOSERS)}]*(?=[{re.escape(OPENERS)}]*[^\\W\\d_]{{2}})")
@@ -69,15 +70,26 @@ WIDE_CHARS = re.compile("[\u2e80-\ud7ff]{1,2}")
 WIDE_LETTER = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
+#: Longer words are classed anew each time, so that what is remembered stays small.
+REMEMBERED = 60
+
+
+def end_mark(token: str) -> str:
+    """The marks that end a sentence at the end of a word, with closing marks behind them; empty if there are none."""
+    core = token.rstrip(CLOSERS)
+    rest = core.rstrip(TERMINAL)
+    return token[len(rest) :] if len(rest) < len(core) else ""
+
+
 @lru_cache(maxsize=200_000)
 def before(token: str) -> tuple[str, str]:
     """Classes of a word at which a sentence may end: by itself, and by shape."""
     if UNMARKED_END.search(token):
         return "~" + token[-4:], "~"
-    m = ENDS.search(token)
-    mark = m[0] if m else token[-1:]
+    ends = end_mark(token)
+    mark = ends or token[-1:]
     core = token[: len(token) - len(mark)].lstrip(OPENERS)
-    if mark[0] not in ".…" or not m:
+    if mark[0] not in ".…" or not ends:
         return mark, mark
     if core and core[-1] > "⹿":
         return mark, mark
@@ -129,13 +141,24 @@ def after(token: str, follow: str, wide: bool) -> tuple[str, str]:
     return case, word + (JOIN + quote + "_" + mark + next_word[0].lower()[:10] if next_word and not t.endswith((".", "!", "?")) else "")
 
 
-class Place:
-    """Where a sentence may end: ``end``, the classes around it, and whether its word directly follows another place."""
+def class_before(token: str) -> tuple[str, str]:
+    return before(token) if len(token) <= REMEMBERED else before.__wrapped__(token)
+
+
+def class_after(token: str, follow: str, wide: bool) -> tuple[str, str]:
+    return after(token, follow, wide) if len(token) + len(follow) <= 2 * REMEMBERED else after.__wrapped__(token, follow, wide)
+
 
-    __slots__ = ("end", "exact", "shape", "case", "next", "first", "near")
+class Place(NamedTuple):
+    """Where a sentence may end, the classes around it, and whether its word is the first or directly follows another place."""
 
-    def __init__(self, end: int, exact: str, shape: str, case: str, nxt: str, first: bool, near: bool) -> None:
-        self.end, self.exact, self.shape, self.case, self.next, self.first, self.near = end, exact, shape, case, nxt, first, near
+    end: int
+    exact: str
+    shape: str
+    case: str
+    next: str
+    first: bool
+    near: bool
 
 
 def is_wide(text: str) -> bool:
@@ -143,8 +166,8 @@ def is_wide(text: str) -> bool:
     return not text.isascii() and 20 * len(WIDE_LETTER.findall(text)) > len(text)
 
 
-def places(text: str, wide: bool) -> tuple[list[Place], list[tuple[str, str]], tuple[str, str]]:
-    """Of a segment: its places, the words that surely begin no sentence, and the classes of its last word."""
+def places(text: str, wide: bool) -> tuple[list[Place], list[tuple[str, str]], tuple[str, str], tuple[str, str]]:
+    """Of a segment: its places, the words that surely begin no sentence, the classes of its first word, and of its last."""
     spans = [m.span() for m in QUOTED.finditer(text)]
     tokens = list(TOKEN.finditer(text))
     raw: list[tuple[int, str, int, int]] = []  # end, word, index of the word, whether inside the word
@@ -152,11 +175,11 @@ def places(text: str, wide: bool) -> tuple[list[Place], list[tuple[str, str]], t
     for i, m in enumerate(tokens):
         t = m[0]
         if t.isascii():
-            hit = t[-1] in ".!?\"')]" and ENDS.search(t)
+            hit = t[-1] in ".!?\"')]" and end_mark(t)
             inner = []
         else:
             inner = [x for x in INNER.finditer(t) if x.end() < len(t)]
-            hit = ENDS.search(t) or UNMARKED_END.search(t)
+            hit = end_mark(t) or UNMARKED_END.search(t)
         if not inner and len(t) > 5 and (x := JOINED.search(t, 2)) and "@" not in t and "://" not in t and (small or not t[x.end() :].lstrip(OPENERS)[0].islower()):
             inner = [x]
         for x in inner:
@@ -184,8 +207,8 @@ def places(text: str, wide: bool) -> tuple[list[Place], list[tuple[str, str]], t
             starts.add(i + 1)
         else:
             continue
-        exact, shape = before(word if len(word) < 60 else word[-60:])
-        case, cls = after(nxt if len(nxt) < 60 else nxt[:60], follow if len(follow) < 20 else follow[:20], wide)
+        exact, shape = class_before(word)
+        case, cls = class_after(nxt, follow, wide)
         if cls in ("-", '"-') and WORDLESS.match(nxt):
             continue  # the closing mark stands apart and is the place
         out.append(Place(end, exact, shape, case, cls, i == 0 and not part, last == (i - 1, 0)))
@@ -195,7 +218,9 @@ def places(text: str, wide: bool) -> tuple[list[Place], list[tuple[str, str]], t
         if i not in starts:
             t = tokens[i][0]
             inside.append((t, tokens[i + 1][0] if t[0].isupper() and i + 1 < len(tokens) else ""))
-    return out, inside, before(tokens[-1][0][-60:]) if tokens else ("", "")
+    if not tokens:
+        return out, inside, ("", ""), ("", "")
+    return out, inside, class_after(tokens[0][0], tokens[1][0] if len(tokens) > 1 else "", wide), class_before(tokens[-1][0])
 
 
 def segments(text: str) -> Iterator[tuple[str, int, int]]:
@@ -232,61 +257,81 @@ def segments(text: str) -> Iterator[tuple[str, int, int]]:
             yield "text", begun, block[-1][1]
 
 
-def counted(text: str, counts: Counter) -> None:
-    """Adds what a mail tells: s (class at a start), e (class at an end), c (classes around a place), u (class inside)."""
+def parsed(text: str, counts: Counter) -> tuple[list[int], list[tuple[bool, list[tuple]]]]:
+    """Of a mail the sure ends of units, and per segment whether it has capitals and its places.
+
+    Adds to ``counts`` what the mail tells: s (class at a start), e (class at an end), c (classes around a place), u (class
+    inside), U (the same as a word that has yet to be classed).
+    """
+    sure, open_ = [], []
     for kind, a, z in segments(text):
+        sure.append(a + len(text[a:z].rstrip()))
         if kind == "unit":
             continue
-        part, _ = mended(text[a:z])
+        part, ends = mended(text[a:z])
         wide = is_wide(part)
-        found, inside, (exact, shape) = places(part, wide)
-        first = TOKEN.findall(part, 0, 200)[:2]
-        case, cls = after(first[0][:60], first[1][:20] if len(first) > 1 else "", wide)
+        found, inside, (case, cls), (exact, shape) = places(part, wide)
         counts["s", "", "", case, cls] += 1
-        if ENDS.search(part.rstrip()) or UNMARKED_END.search(part.rstrip()):
+        bare = part.rstrip()
+        if end_mark(bare) or UNMARKED_END.search(bare[-1:]):
             counts["e", exact, shape, "", ""] += 1
         for p in found:
-            counts["c", exact_of(p), p.shape, p.case, p.next] += 1
+            counts["c", ("^" if p.first else "") + p.exact, p.shape, p.case, p.next] += 1
         for w, follow in inside:
-            counts["u", w[:60], "w" if wide else "", follow[:20], ""] += 1
-
-
-def exact_of(p: Place) -> str:
-    return ("^" if p.first else "") + p.exact
+            if len(w) + len(follow) <= REMEMBERED:
+                counts["U", w, "w" if wide else "", follow, ""] += 1
+            else:
+                counts["u", "", "", *class_after(w, follow, wide)] += 1
+        if found:
+            cased = part != part.lower()  # careless writers leave whole paragraphs in small letters
+            open_.append((cased, [(a + (p.end if ends is None else ends[p.end - 1]), p.exact, p.shape, p.case, p.next, p.first, p.near) for p in found]))
+    return sure, open_
 
 
 ROW = "kind string, exact string, shape string, case string, next string, n long"
 
 
-def statistics(df: DataFrame, text: str) -> DataFrame:
-    """Counts over the whole corpus, combined in each task before the shuffle."""
+def read_corpus(df: DataFrame, doc: str, text: str) -> DataFrame:
+    """One pass over the mails, stored: rows with what 'count', combined in each task, and with what 'mail': _doc and its parse."""
+    rows = df.select(F.col(doc).alias("_doc"), F.col(text).cast("string").alias("_text"))
+    names = ["kind", "exact", "shape", "case", "next", "n", "_doc", "parse", "what"]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        kind = pa.null()
 
         def put() -> pa.RecordBatch:
-            inside: Counter = Counter()
-            rows = []
+            classed: Counter = Counter()
             for key, n in counts.items():
-                if key[0] == "u":
-                    inside["u", "", "", *after(key[1], key[3], bool(key[2]))] += n
-                else:
-                    rows.append((*key, n))
-            rows += [(*key, n) for key, n in inside.items()]
+                classed[("u", "", "", *after(key[1], key[3], bool(key[2]))) if key[0] == "U" else key] += n
             counts.clear()
-            cols = list(zip(*rows)) or [()] * 6
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:5]), pa.array(cols[5], pa.int64())], names=["kind", "exact", "shape", "case", "next", "n"])
+            cols = list(zip(*classed)) or [()] * 5
+            arrays = [*(pa.array(c, pa.string()) for c in cols), pa.array(list(classed.values()), pa.int64()), pa.nulls(len(classed), kind), pa.nulls(len(classed), pa.binary())]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(["count"] * len(classed), pa.string())], names=names)
 
         for b in batches:
-            for t in b.column(0).to_pylist():
+            kind = b.column(0).type
+            at, parses = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
                 if t:
-                    counted(t, counts)
+                    sure, open_ = parsed(t, counts)
+                    if sure:
+                        at.append(i)
+                        parses.append(pickle.dumps((sure, open_), 5))
+            void = pa.nulls(len(at), pa.string())
+            yield pa.RecordBatch.from_arrays([void] * 5 + [pa.nulls(len(at), pa.int64()), b.column(0).take(pa.array(at, pa.int64())), pa.array(parses, pa.binary()), pa.array(["mail"] * len(at), pa.string())], names=names)
             if len(counts) > 500_000:
                 yield put()
-        yield put()
+        if counts:
+            yield put()
+
+    kind = rows.schema["_doc"].dataType.simpleString()
+    return cut(rows.filter("_text is not null").mapInArrow(read, f"{ROW}, _doc {kind}, parse binary, what string"), "sentence-parses", ["what"])
 
-    rows = df.select(F.col(text).cast("string").alias("text")).filter("text is not null")
-    return rows.mapInArrow(count, ROW).groupBy("kind", "exact", "shape", "case", "next").agg(F.sum("n").alias("n"))
+
+def statistics(read: DataFrame) -> DataFrame:
+    """Counts over the whole corpus, of a table made by ``read_corpus``."""
+    return read.filter("what = 'count'").groupBy("kind", "exact", "shape", "case", "next").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -322,19 +367,19 @@ class Model:
         free = (self.start if event else self.inside).get(nxt, 1e-5)
         return (self.pair[event].get((cur, nxt), 0.0) + BACKOFF * free) / (self.total[event].get(cur, 0.0) + BACKOFF)
 
-    def posteriors(self, found: list[Place], cased: bool) -> list[float]:
-        """Forward-backward over the events of a segment."""
+    def posteriors(self, found: list, cased: bool) -> list[float]:
+        """Forward-backward over the events of a segment, given its places as in ``Place``."""
         n = len(found)
         if not n:
             return []
         emit, to = [], []
-        for p in found:
-            cur = self.class_before(p.exact, p.shape)
-            nxt = self.class_after(p.case if cased else "n", p.next)
+        for _, exact, shape, case, following, opens, near in found:
+            cur = self.class_before(exact, shape)
+            nxt = self.class_after(case if cased else "n", following)
             emit.append((self.word(cur, nxt, 0), self.word(cur, nxt, 1)))
-            plain = self.event.get(cur, self.event.get(p.shape, 0.5))
-            first = self.event.get(self.class_before("^" + p.exact, p.shape), plain)
-            to.append((first, first) if p.first else (plain, first if p.near else plain))
+            plain = self.event.get(cur, self.event.get(shape, 0.5))
+            first = self.event.get(self.class_before("^" + exact, shape), plain)
+            to.append((first, first) if opens else (plain, first if near else plain))
         fore = []
         a0, a1 = 1.0, 0.0
         for (e0, e1), (p0, p1) in zip(emit, to):
@@ -468,37 +513,34 @@ def fit(stats: DataFrame) -> Model:
     return m
 
 
+def ends_of(sure: list[int], open_: list[tuple[bool, list[tuple]]], model: Model) -> list[int]:
+    """Places after the last non-blank character of each unit of a parsed mail."""
+    out = set(sure)
+    for cased, found in open_:
+        out.update(p[0] for p, post in zip(found, model.posteriors(found, cased)) if post > 0.5)
+    return sorted(out)
+
+
 def unit_ends(text: str, model: Model) -> list[int]:
-    """Places after the last non-blank character of each unit of a mail."""
-    out = []
-    for kind, a, z in segments(text):
-        whole = a + len(text[a:z].rstrip())
-        if kind == "text":
-            part, ends = mended(text[a:z])
-            found, _, _ = places(part, is_wide(part))
-            cased = part != part.lower()  # careless writers leave whole paragraphs in small letters
-            for p, post in zip(found, model.posteriors(found, cased)):
-                if post > 0.5:
-                    out.append(a + (p.end if ends is None else ends[p.end - 1]))
-        out.append(whole)
-    return sorted(set(out))
+    return ends_of(*parsed(text, Counter()), model)
 
 
 def sentence_units(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, end_pos) for each unit of each mail."""
+    """(doc, end_pos) for each unit of each mail. Each mail is parsed once; the second pass reads the stored parses."""
     bounded_batches(df.sparkSession)
-    model = fit(cut(statistics(df, text), "sentence-counts"))
+    read = read_corpus(df, doc, text)
+    model = fit(cut(statistics(read), "sentence-counts"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, ends = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                found = unit_ends(t, shared.value) if t else []
+            for i, raw in enumerate(b.column(1).to_pylist()):
+                found = ends_of(*pickle.loads(raw), shared.value)
                 at += [i] * len(found)
                 ends += found
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(ends, pa.int32())], names=["_doc", "end_pos"])
 
-    rows = df.select(F.col(doc).alias("_doc"), F.col(text).cast("string").alias("_text"))
-    kind = rows.schema["_doc"].dataType.simpleString()
-    return rows.mapInArrow(split, f"_doc {kind}, end_pos int").withColumnRenamed("_doc", doc)
+    mails = read.filter("what = 'mail'").select("_doc", "parse")
+    kind = mails.schema["_doc"].dataType.simpleString()
+    return mails.mapInArrow(split, f"_doc {kind}, end_pos int").withColumnRenamed("_doc", doc)

@@ -222,7 +222,7 @@ def corpus(seed, n):
 def test_model_finds_held_out_boundaries(spark):
     train, held = corpus(1, 1500), corpus(2, 300)
     schema = "doc_id long, text string, end_pos string"
-    stats = sentences.statistics(spark.createDataFrame([(i, t, "") for i, t, _ in train], schema), "text")
+    stats = sentences.statistics(sentences.read_corpus(spark.createDataFrame([(i, t, "") for i, t, _ in train], schema), "doc_id", "text"))
     model = sentences.fit(stats)
     good = found = true = 0
     for _, t, ends in held:
@@ -235,7 +235,7 @@ def test_model_finds_held_out_boundaries(spark):
 
 def test_pairs_beyond_the_limit_keep_their_counts(spark, monkeypatch):
     docs = corpus(1, 1500)
-    stats = sentences.statistics(spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string"), "text").cache()
+    stats = sentences.statistics(sentences.read_corpus(spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string"), "doc_id", "text")).cache()
     whole = sentences.fit(stats)
     monkeypatch.setattr(sentences, "CONTEXTS", 12)
     small = sentences.fit(stats)
@@ -266,9 +266,11 @@ def test_posteriors_equal_enumeration():
 
 
 def test_units_of_dirty_documents(spark):
-    docs = [(1, None), (2, ""), (3, "   "), (4, "no body"), (5, HEAD + "\nOne. Two.\n"), (5, HEAD + "\nOne. Two.\n"), (6, HEAD + "\n" + "word " * 30_000)]
+    blanks = HEAD + "\nOne. Two.\n" + " " * 300 + "three. Four\n\n" + "\t" * 70_000 + "five\n"
+    docs = [(7, blanks), (8, HEAD + "\n" + "…" * 100_000 + "a " + "." * 100_000 + "\n"), (1, None), (2, ""), (3, "   "), (4, "no body"), (5, HEAD + "\nOne. Two.\n"), (5, HEAD + "\nOne. Two.\n"), (6, HEAD + "\n" + "word " * 30_000)]
     rows = sentences.sentence_units(spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, end_pos int")).collect()
-    assert {r.doc_id for r in rows} == {5, 6}
+    assert {r.doc_id for r in rows} == {5, 6, 7, 8}
+    assert {len(blanks) - 1, blanks.index("\n\n\t")} <= {r.end_pos for r in rows if r.doc_id == 7}
     assert Counter(r.doc_id for r in rows)[6] == 1 and Counter(r.doc_id for r in rows)[5] % 2 == 0
     assert sentences.sentence_units(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
