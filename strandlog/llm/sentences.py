@@ -39,7 +39,7 @@ from strandlog.llm.mail import mended, own_blocks
 from strandlog.sources.shared import cut
 
 #: Sizes of the model, the least count of a class of its own, rounds of EM.
-VOCABULARY, CONTEXTS, LEAST, ROUNDS = 20_000, 200_000, 8, 6
+VOCABULARY, CONTEXTS, LEAST, ROUNDS = 8_000, 50_000, 8, 6
 #: Prior: sentences inside a block for each block that ends in a given word; weight of word-free counts.
 INSIDE, BACKOFF = 2.0, 4.0
 
