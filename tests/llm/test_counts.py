@@ -68,6 +68,38 @@ def test_rank_error_is_relative_to_the_tail(kind, parts):
         assert lo + 1 <= rank + slack and hi >= rank - slack, (kind, p, lo, hi, rank)
 
 
+@pytest.mark.parametrize("kind", ["lognormal", "interleaved", "blocks", "falling", "sawtooth"])
+@pytest.mark.parametrize("tree", [False, True])
+def test_rank_error_over_ten_thousand_parts(kind, tree):
+    n = 1_000_000
+    g = np.random.default_rng(5)
+    values = {"lognormal": lambda: g.lognormal(10, 2, n), "interleaved": lambda: np.arange(n).reshape(-1, 200).T.ravel(), "blocks": lambda: np.arange(n), "falling": lambda: np.arange(n)[::-1], "sawtooth": lambda: np.arange(n) % 977}[kind]().astype(np.int64)
+    s = [quantiles.Sketch().add(np.sort(p)) for p in np.array_split(values, 10_000)]
+    if tree:
+        while len(s) > 1:
+            s = [s[i].merge(s[i + 1]) if i + 1 < len(s) else s[i] for i in range(0, len(s), 2)]
+    else:
+        for x in s[1:]:
+            s[0].merge(x)
+    ordered = np.sort(values)
+    for p, got in zip((0.5, 0.9, 0.99, 0.999), s[0].quantiles([0.5, 0.9, 0.99, 0.999])):
+        rank = math.ceil(p * n)
+        slack = quantiles.error_bound() * (n - rank) + 1
+        assert np.searchsorted(ordered, got, "left") + 1 <= rank + slack and np.searchsorted(ordered, got, "right") >= rank - slack, (p, got)
+
+
+def test_sketches_do_not_depend_on_the_order_of_rows_or_merges(spark, monkeypatch):
+    rows = spark.range(30_000).select(F.pmod("id", F.lit(3)).alias("g"), F.pmod(F.xxhash64("id"), F.lit(10**9)).alias("value")).repartition(7, "value")
+    whole = {r.g: bytes(r.sketch) for r in quantiles.sketches(rows, ["g"]).collect()}
+    turned = rows.sortWithinPartitions(F.rand(3))
+    assert {r.g: bytes(r.sketch) for r in quantiles.sketches(turned, ["g"]).collect()} == whole
+    monkeypatch.setattr(quantiles, "FAN", 2)  # seven sketches of a group then take several rounds
+    few = {r.g: r for r in quantiles.read_sketches(quantiles.sketches(rows, ["g"]), ["g"]).collect()}
+    assert {g: r.n for g, r in few.items()} == {0: 10_000, 1: 10_000, 2: 10_000}
+    for r in few.values():
+        assert abs(r.p90 - 9e8) < 2e7
+
+
 def test_small_sketches_are_exact():
     v = np.random.default_rng(0).integers(0, 1000, 150)
     assert quantiles.Sketch().add(v).quantiles([0.5, 0.9, 1.0]) == [int(np.sort(v)[math.ceil(p * 150) - 1]) for p in (0.5, 0.9, 1.0)]
@@ -78,10 +110,11 @@ def test_percentiles_of_dirty_results(spark):
     import datetime as dt
 
     d = dt.date(2026, 3, 1)
-    rows = [(1, "A", d, 5, None, -1, "x"), (1, "A", d, 5, None, -1, "x"), (2, "A", d, 9, None, 3, "x"), (None, "A", d, 7, None, None, "x"), (None, "A", d, 7, None, None, "x"), (3, None, None, None, 4, None, "x")]
+    rows = [(1, "A", d, 5, None, -1, "x"), (1, "A", d, 5, None, -1, "x"), (2, "A", d, 9, None, 3, "x"), (None, "A", d, 7, None, None, "x"), (None, "A", d, 7, None, None, "x"), (3, None, None, None, 4, None, "x"), (4, "B", None, 8, None, None, "x"), (4, "C", d, 6, None, None, "x")]
     got = {(r.scope, r.workload, r.run_day, r.metric): (r.n, r.p50, r.p999) for r in quantiles.percentiles(spark.createDataFrame(rows, kind)).collect()}
     assert got == {("day", "A", d, "read_latency_ns"): (4, 7, 9), ("all", "A", None, "read_latency_ns"): (4, 7, 9), ("day", "A", d, "value_size"): (1, 3, 3), ("all", "A", None, "value_size"): (1, 3, 3),
-                   ("day", None, None, "write_latency_ns"): (1, 4, 4), ("all", None, None, "write_latency_ns"): (1, 4, 4)}
+                   ("day", None, None, "write_latency_ns"): (1, 4, 4), ("all", None, None, "write_latency_ns"): (1, 4, 4),
+                   ("day", "C", d, "read_latency_ns"): (1, 8, 8), ("all", "C", None, "read_latency_ns"): (1, 8, 8)}
     assert quantiles.percentiles(spark.createDataFrame([], kind)).collect() == []
 
 
