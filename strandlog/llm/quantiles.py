@@ -7,9 +7,9 @@ that the errors of different compactions don't add up. The largest values are ne
 rank is bounded by a share of the number of values *above* it, so that 99.9 % is as good as 90 %. Sketches of
 partitions and days are merged level by level.
 
-A task sorts its values by group and makes a sketch of each; sketches are stored, and merged in rounds of at most ``FAN``
-per group and task. The result depends on which rows a task gets, hence on the number of shuffle partitions, but neither
-on the order in which they come to it nor on the order of merges.
+A task puts its rows together by group and makes a sketch of the sorted values of each; sketches are stored, and merged in
+rounds of at most ``FAN`` per group and task. The result depends on which rows a task gets, hence on the number of shuffle
+partitions, but neither on the order in which they come to it (but for groups with over ``HELD`` values in a task) nor on that of merges.
 
 Defined cases: null and negative values are left out; a group without values gives no row; a null group is a group;
 rows with one result id count once, each column with its greatest value; rows without an id count each. Percentile p is
@@ -32,8 +32,8 @@ from strandlog.sources.shared import cut
 #: Length of a section: a greater one lowers the error. The documented bound on the relative rank error follows from it.
 K = 32
 SECTIONS = 3
-#: Sketches of a group that one task merges.
-FAN = 256
+#: Sketches of a group that one task merges; values of a group that a task sorts at once; texts that are coded as numbers.
+FAN, HELD, CODED = 256, 4_000_000, 64
 PROBS = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}
 METRICS = ("read_latency_ns", "write_latency_ns", "value_size")
 
@@ -148,20 +148,19 @@ class Sketch:
 def once(df: DataFrame, ident: str, groups: list[str], metrics: list[str]) -> DataFrame:
     """One row per id, each column with its greatest value; rows without an id stay.
 
-    Rows of one id are almost always alike in the groups, so the first step is by both, which a hash aggregate does; only ids that
-    are left with several rows take the sorting aggregate that the greatest text needs.
+    A hash aggregate takes numbers only. Texts of at most ``CODED`` values, counted before, hence go by their place among the sorted values;
+    with more of them a sorting aggregate does the same.
     """
-    id_ = F.col(ident)
-    alike = df.filter(id_.isNotNull()).groupBy(ident, *groups).agg(*(F.max(c).alias(c) for c in metrics))
-    stored = cut(alike, "results")
-    torn = cut(stored.groupBy(ident).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(ident).alias("_torn")), "torn-results")
-    cols = [*groups, *metrics]
-    rest = df.filter(id_.isNull()).select(*cols)
-    if torn.isEmpty():
-        return stored.select(*cols).unionByName(rest)
-    whole = stored.join(torn, stored[ident] == torn["_torn"], "left_anti").select(*cols)
-    joined = stored.join(torn, stored[ident] == torn["_torn"], "left_semi").groupBy(ident).agg(*(F.max(c).alias(c) for c in cols)).select(*cols)
-    return whole.unionByName(joined).unionByName(rest)
+    keyed, cols, back = df.filter(F.col(ident).isNotNull()), {c: F.col(c) for c in [*groups, *metrics]}, {}
+    for c in groups:
+        if df.schema[c].dataType.simpleString() == "string":
+            values = sorted(r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().limit(CODED + 1).collect())
+            if 0 < len(values) <= CODED:
+                known = F.array(*map(F.lit, values))
+                cols[c], back[c] = F.array_position(known, F.col(c)), known
+    named = keyed.groupBy(ident).agg(*(F.max(e).alias(c) for c, e in cols.items()))
+    named = named.select(*((F.get(back[c], (F.col(c) - 1).cast("int")) if c in back else F.col(c)).alias(c) for c in cols))
+    return named.unionByName(df.filter(F.col(ident).isNull()).select(*cols))
 
 
 def long_form(df: DataFrame, groups: list[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:
@@ -215,14 +214,64 @@ def _schema(df: DataFrame, groups: list[str]) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*groups).schema.fields)
 
 
-def sketches(rows: DataFrame, groups: list[str], k: int = K) -> DataFrame:
-    """(groups..., sketch) of ``value``, stored: one per group and task, then merged by ``merge_sketches``."""
+def sketches(rows: DataFrame, groups: list[str], metrics: tuple[str, ...] = METRICS, k: int = K) -> DataFrame:
+    """(groups..., metric, sketch), stored: one per group, metric and task, then merged by ``merge_sketches``.
+
+    A task puts the rows of a group together by a digest of the group and sorts the values of each itself, ``HELD`` at a time.
+    """
+    kinds = _schema(rows, groups)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _per_group(batches, groups, lambda s, b, a, z: (s or Sketch(k)).add(b.column("value").slice(a, z - a).to_numpy()))
+        held: dict[str, list[np.ndarray]] = {m: [] for m in metrics}
+        made: dict[str, Sketch] = {}
+        key, types, done = None, None, []
+
+        def settle(m: str) -> None:
+            values = np.concatenate(held[m])
+            values.sort()
+            made.setdefault(m, Sketch(k)).add(values)
+            held[m].clear()
+
+        def close() -> None:
+            for m in metrics:
+                if held[m]:
+                    settle(m)
+            done.extend((*key, m, s.dump()) for m, s in made.items())
+            made.clear()
+
+        def put() -> pa.RecordBatch:
+            cols = list(zip(*done))
+            arrays = [*(pa.array(c, t) for c, t in zip(cols, types)), pa.array(cols[-2], pa.string()), pa.array(cols[-1], pa.binary())]
+            done.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=[*groups, "metric", "sketch"])
+
+        for b in batches:
+            starts = _runs(b, groups)
+            types = [b.schema.field(g).type for g in groups]
+            values = {m: b.column(m).fill_null(-1).to_numpy() for m in metrics}
+            for a, z in zip(starts.tolist(), [*starts[1:].tolist(), b.num_rows]):
+                here = tuple(b.column(g)[a].as_py() for g in groups)
+                if here != key:
+                    if key is not None:
+                        close()
+                    key = here
+                for m in metrics:
+                    v = values[m][a:z]
+                    v = v[v >= 0]
+                    if len(v):
+                        held[m].append(v)
+                        if sum(map(len, held[m])) >= HELD:
+                            settle(m)
+            if len(done) > 4096:
+                yield put()
+        if key is not None:
+            close()
+        if done:
+            yield put()
 
-    made = rows.select(*groups, "value").sortWithinPartitions(*groups, "value").mapInArrow(build, f"{_schema(rows, groups)}, sketch binary")
-    return merge_sketches(cut(made, "task-sketches"), groups)
+    near = rows.select(*groups, *(F.col(m).cast("long").alias(m) for m in metrics)).withColumn("_near", F.xxhash64(*groups))
+    made = near.sortWithinPartitions("_near").drop("_near").mapInArrow(build, f"{kinds}, metric string, sketch binary")
+    return merge_sketches(cut(made, "task-sketches"), [*groups, "metric"])
 
 
 def merge_sketches(made: DataFrame, groups: list[str], most: int | None = None) -> DataFrame:
@@ -267,9 +316,8 @@ def read_sketches(made: DataFrame, groups: list[str], probs: dict[str, float] =
 
 def daily(df: DataFrame) -> DataFrame:
     """Stored sketches per workload, day and metric of a table of results."""
-    groups = ["workload", "run_day", "metric"]
-    rows = long_form(once(df, "result_id", ["workload", "run_day"], list(METRICS)), ["workload", "run_day"])
-    return cut(sketches(rows, groups), "sketches")
+    groups = ["workload", "run_day"]
+    return cut(sketches(once(df, "result_id", groups, list(METRICS)), groups), "sketches")
 
 
 def over_days(days: DataFrame) -> DataFrame:

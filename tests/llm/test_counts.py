@@ -90,16 +90,26 @@ def test_rank_error_over_ten_thousand_parts(kind, tree):
 
 def test_sketches_do_not_depend_on_the_order_of_rows_or_merges(spark, monkeypatch):
     rows = spark.range(30_000).select(F.pmod("id", F.lit(3)).alias("g"), F.pmod(F.xxhash64("id"), F.lit(10**9)).alias("value")).repartition(7, "value")
-    whole = {r.g: bytes(r.sketch) for r in quantiles.sketches(rows, ["g"]).collect()}
+    of = lambda df: quantiles.sketches(df, ["g"], ("value",))
+    whole = {r.g: bytes(r.sketch) for r in of(rows).collect()}
     turned = rows.sortWithinPartitions(F.rand(3))
-    assert {r.g: bytes(r.sketch) for r in quantiles.sketches(turned, ["g"]).collect()} == whole
+    assert {r.g: bytes(r.sketch) for r in of(turned).collect()} == whole
     monkeypatch.setattr(quantiles, "FAN", 2)  # seven sketches of a group then take several rounds
-    few = {r.g: r for r in quantiles.read_sketches(quantiles.sketches(rows, ["g"]), ["g"]).collect()}
+    few = {r.g: r for r in quantiles.read_sketches(of(rows), ["g"]).collect()}
     assert {g: r.n for g, r in few.items()} == {0: 10_000, 1: 10_000, 2: 10_000}
     for r in few.values():
         assert abs(r.p90 - 9e8) < 2e7
 
 
+def test_one_row_per_id_with_many_texts(spark, monkeypatch):
+    rows = [(i % 40 if i % 7 else None, f"w{i % 9}" if i % 5 else None, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "ident long, w string, v long")
+    few = sorted(map(str, quantiles.once(df, "ident", ["w"], ["v"]).collect()))
+    monkeypatch.setattr(quantiles, "CODED", 3)
+    assert sorted(map(str, quantiles.once(df, "ident", ["w"], ["v"]).collect())) == few
+    assert len(few) == 40 + sum(r[0] is None for r in rows)
+
+
 def test_small_sketches_are_exact():
     v = np.random.default_rng(0).integers(0, 1000, 150)
     assert quantiles.Sketch().add(v).quantiles([0.5, 0.9, 1.0]) == [int(np.sort(v)[math.ceil(p * 150) - 1]) for p in (0.5, 0.9, 1.0)]
