@@ -45,6 +45,11 @@ def p4_ranges(spark: SparkSession, d: str) -> DataFrame:
     return redelivery.whole_ranges(state)
 
 
+def p4_batches(spark: SparkSession, d: str) -> DataFrame:
+    """p4_found with the table taken in four batches, the ranges and messages of each kept for the next."""
+    return redelivery.copies(table(spark, d, "put_request"), batches=4)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     get, put = table(spark, d, "get_request"), table(spark, d, "put_request")
     parts = [skew.busy_keys(df, F.col("client_id"), BUSY).select(F.lit(name).alias("tbl"), "key") for name, df in (("get_request", get), ("put_request", put))]
@@ -66,7 +71,7 @@ def p5_put_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_state, p1_incremental, p4_found, p4_kept, p4_ranges, p5_found, p5_get_profile, p5_put_profile)
+    f.__name__: f for f in (p1_found, p1_state, p1_incremental, p4_found, p4_kept, p4_ranges, p4_batches, p5_found, p5_get_profile, p5_put_profile)
 }
 
 _P1 = """
@@ -108,6 +113,7 @@ ORACLE: dict[str, str] = {
     "p1_state": _P1 + "select group_id, key, idx, value from last where rn = 1 and kind = 'set'",
     "p1_incremental": _P1 + "select group_id, key, idx, value from last where rn = 1 and kind = 'set'",
     "p4_found": _DELIVERY + "select recv_id from r where again",
+    "p4_batches": _DELIVERY + "select recv_id from r where again",
     "p4_kept": _DELIVERY + "select recv_id, client_id, seq_id, key, value, op from r where not again or again is null",
     "p4_ranges": """
 with s as (select distinct client_id, seq_id from put_request where client_id is not null and seq_id is not null and key is not null and recv_id is not null),
