@@ -56,11 +56,13 @@ def merged(ranges: Column) -> Column:
     return F.aggregate(F.array_sort(ranges), empty, add)
 
 
-def runs(numbers: Column) -> Column:
-    """The ranges of a sorted array of distinct numbers of one block (differences don't overflow): a number opens one if its predecessor isn't there, and closes one likewise."""
-    opens = F.filter(numbers, lambda x, i: (i == 0) | (x - F.get(numbers, i - 1) != 1))
-    closes = F.filter(numbers, lambda x, i: (i == F.size(numbers) - 1) | (F.get(numbers, i + 1) - x != 1))
-    return F.transform(F.arrays_zip(opens.alias("lo"), closes.alias("hi")), lambda r: F.struct(r["lo"].alias("lo"), r["hi"].alias("hi")))
+def runs(column: str) -> Column:
+    """The ranges of a column with sorted arrays of structs whose ``_seq`` are distinct numbers of one block: a number opens one if
+    its predecessor isn't there, and closes one likewise."""
+    numbers = F.col(column)
+    opens = F.filter(numbers, lambda x, i: (i == 0) | (x["_seq"] - F.get(numbers, i - 1)["_seq"] != 1))
+    closes = F.filter(numbers, lambda x, i: (i == F.size(numbers) - 1) | (F.get(numbers, i + 1)["_seq"] - x["_seq"] != 1))
+    return F.zip_with(opens, closes, lambda a, z: F.struct(a["_seq"].alias("lo"), z["_seq"].alias("hi")))
 
 
 def deliveries(df: DataFrame, recv: str, client: str, seq: str, key: str) -> DataFrame:
@@ -83,7 +85,7 @@ class SeenRanges:
         each = batch.groupBy(*NUMBER).agg(F.count("*").alias("_n"))
         pair = F.struct("_seq", "_n")
         blocks = each.groupBy("_client", block_of(F.col("_seq")).alias("_block")).agg(F.sort_array(F.collect_list(pair)).alias("_numbers"))  # BLOCK at most
-        blocks = blocks.withColumn("_fresh", runs(F.transform("_numbers", lambda x: x["_seq"])))
+        blocks = blocks.withColumn("_fresh", runs("_numbers"))
         covered = lambda x: x["_n"] > 1
         if self.ranges is not None:
             blocks = blocks.join(self.ranges, ["_client", "_block"], "full")
