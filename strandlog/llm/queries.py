@@ -47,6 +47,14 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
     return seen.rates(table(spark, d, "put_request"), table(spark, d, "value_log"))
 
 
+def p6_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Per segment its keys, the keys it was asked about, those of them that it has and let through, and whether its wrong answers are
+    as many as theory has it (with room for chance)."""
+    r = p6_rates(spark, d)
+    expected = F.col("theory") * (F.col("probes") - F.col("passed") + F.col("wrong"))
+    return r.select("segment", "keys", "probes", (F.col("passed") - F.col("wrong")).alias("found"), (F.col("wrong") <= 2 * expected + 10).alias("as_expected"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     bounded_batches(spark)
     return bpe.encode_corpus(table(spark, d, "documents"))
@@ -71,7 +79,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_top, p3_percentiles, p3_within, p6_found, p6_rates, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found)
+    f.__name__: f for f in (p2_found, p2_top, p3_percentiles, p3_within, p6_found, p6_rates, p6_audit, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found)
 }
 
 _COUNTS = """
@@ -90,6 +98,14 @@ v as (select workload, run_day, 'read_latency_ns' as metric from o where r >= 0
       select workload, run_day, 'write_latency_ns' from o where w >= 0 union all select workload, run_day, 'value_size' from o where s >= 0)
 select 'day' as scope, workload, run_day, metric, cast(count(*) as bigint) as n, true as within from v group by all
 union all select 'all', workload, cast(null as date), metric, cast(count(*) as bigint), true from v group by workload, metric""",
+    "p6_audit": f"""
+with p as (select recv_id, lpad(key, 10, '0') as key from put_request where key is not null and recv_id is not null),
+s as (select min(recv_id) as lo, greatest(1, (max(recv_id) - min(recv_id) + {seen.WAVES}) // {seen.WAVES}) as step from p),
+w as (select distinct cast((recv_id - lo) // step as int) as wave, key from p, s),
+k as (select distinct lpad(key, 10, '0') as key, 0 as segment from value_log where key is not null),
+f as (select key, min(wave) + 1 as segment from w where key not in (select key from k) group by 1 union all select key, segment from k)
+select segment, count(distinct f.key) as keys, (select count(*) from w where wave >= segment) as probes, count(*) filter (wave >= segment) as found, true as as_expected
+from f left join w using (key) group by segment having probes > 0""",
     "p7_decoded": "select doc_id, cast(octet_length(encode(coalesce(text, ''))) as bigint) as bytes, md5(coalesce(text, '')) as digest from documents",
     "p6_found": """
 with p as (select recv_id, lpad(key, 10, '0') as pkey from put_request where key is not null and recv_id is not null),

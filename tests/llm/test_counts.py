@@ -161,6 +161,25 @@ def test_seen_before_matches_python(spark):
         assert rates[0].theory == 2.0**-seen.RICE and all(x.wrong <= x.passed <= x.probes for x in rates.values())
 
 
+def test_a_store_is_opened_again(spark, monkeypatch):
+    monkeypatch.setattr(seen, "SHARD", 20)
+    r = random.Random(8)
+    held = spark.createDataFrame([(str(r.randrange(300)),) for _ in range(200)], "key string")
+    days = [[(1000 * day + i, str(r.randrange(900))) for i in range(400)] for day in range(3)]
+    path = seen.new_path(spark, "seen-days")
+    seen.remember(held, 2000, path=path)
+    known = {pad(x.key) for x in held.collect()}
+    for rows in days:
+        want = set()
+        for i, k in rows:
+            if pad(k) in known:
+                want.add(i)
+            known.add(pad(k))
+        got = seen.seen_before(spark.createDataFrame(rows, "recv_id long, key string"), seen.SeenStore(spark, path), waves=2)
+        assert {x.recv_id for x in got.collect()} == want
+    assert seen.SeenStore(spark, path).shards == 100 and seen.SeenStore(spark, path).takes() == [(0, 0), (1, 2), (3, 4), (5, 6)]
+
+
 def test_seen_empty(spark):
     records, store = spark.createDataFrame([], "recv_id long, key string"), spark.createDataFrame([], "key string")
     assert seen.seen_before(records, store).collect() == []
