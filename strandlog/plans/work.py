@@ -130,6 +130,28 @@ def vlog_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy("key").agg(F.count("*").alias("n"), F.sum("value_size").alias("value_bytes"), F.sum(F.length("value")).alias("chars"), F.max("idx").alias("last_idx"))
 
 
+def vlog_demo(spark: SparkSession, d: str) -> DataFrame:
+    """The same in the layout of keys and values only, whose files are given split places afterwards."""
+    vlog.register(spark)
+    path = new_path(spark, "vlog")
+    table(spark, d, "value_log").select("key", "value").write.format("vlog").option("layout", "demo").mode("append").save(path)
+    vlog.index_splits(spark, path, True)
+    back = spark.read.format("vlog").option("layout", "demo").option("splitBytes", 1 << 20).load(path)
+    return back.groupBy("key").agg(F.count("*").alias("n"), F.sum("value_size").alias("value_bytes"), F.sum(F.length("value")).alias("chars"))
+
+
+def value_deref(spark: SparkSession, d: str) -> DataFrame:
+    """Values of a range of keys, fetched from the log by the offsets that the index of newest records has; one asked key is missing."""
+    vlog.register(spark)
+    path = new_path(spark, "vlog")
+    log(spark, d).write.format("vlog").mode("append").save(path)
+    heads = spark.read.format("vlog").load(path).drop("value")
+    index = heads.groupBy("key").agg(F.max_by(F.struct("file", "file_offset"), "idx").alias("at"))
+    asked = spark.createDataFrame([(str(k),) for k in (*range(10, 21), 999_999)], "key string").select(pad_key("key").alias("key"))
+    found = asked.join(index, "key", "left").select("key", "at.file", F.coalesce("at.file_offset", F.lit(-1)).alias("file_offset"))
+    return vlog.dereferenced(found, path).select("key", F.col("stored_key").isNotNull().alias("found"), F.col("stored_value").alias("value"))
+
+
 def generations_view(spark: SparkSession, d: str) -> DataFrame:
     """Three generations appended, read merged, compacted, and one more on top."""
     g = Generations(spark, new_path(spark, "generations"))
@@ -232,7 +254,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         client_throughput, avg_of_avgs, metric_rollups, repeated_runs, measured_means, op_mix, rmw_last, rmw_all, zipf_mass, gen_random_writes, gen_shuffled_slices,
-        gen_sequential_writes, gen_uniform_reads, gen_zipf_reads, gen_scan_ranges, scan_workload, gen_operation_mix, gen_load_inserts, gen_values, clock_starts, vlog_roundtrip,
+        gen_sequential_writes, gen_uniform_reads, gen_zipf_reads, gen_scan_ranges, scan_workload, gen_operation_mix, gen_load_inserts, gen_values, clock_starts, vlog_roundtrip, vlog_demo, value_deref,
         generations_view, range_scan_stored, compaction_schedule, committed_reads, stream_apply, stream_latest, stream_spells, stream_sessions, stream_timeouts, lstm_scores,
     )
 }
@@ -304,6 +326,10 @@ select lpad(cast(user_id as varchar), 10, '0') as key, max(event_id) as idx from
     "gen_values": f"select range as id, substr(translate(md5('value0:' || range), '0123456789', 'ghijklmnop') || translate(md5('value1:' || range), '0123456789', 'ghijklmnop'), 1, 40) as value, (({_digest('id-high', 'range')} & 1073741823) << 32) | {_digest('id-low', 'range')} as req from range({OPS})",
     "clock_starts": "select n_nationkey, n_name || '1' as node, cast(0 as bigint) as at from nation",
     "vlog_roundtrip": "select lpad(coalesce(key, ''), 10, '0') as key, count(*) as n, cast(sum(coalesce(octet_length(encode(value)), 0)) as bigint) as value_bytes, cast(sum(coalesce(length(value), 0)) as bigint) as chars, max(coalesce(idx, 0)) as last_idx from value_log group by 1",
+    "vlog_demo": "select lpad(coalesce(key, ''), 10, '0') as key, count(*) as n, cast(sum(coalesce(octet_length(encode(value)), 0)) as bigint) as value_bytes, cast(sum(coalesce(length(value), 0)) as bigint) as chars from value_log group by 1",
+    "value_deref": """
+with a as (select unnest(list_concat(range(10, 21), [999999])) as u), l as (select user_id, max_by(props, event_id) as value from events group by 1)
+select lpad(cast(u as varchar), 10, '0') as key, user_id is not null as found, value from a left join l on u = user_id""",
     "generations_view": "select lpad(cast(user_id as varchar), 10, '0') as key, event_id as idx, props as value from events qualify row_number() over (partition by user_id order by event_id desc) = 1",
     "stream_apply": feeds.ORACLE["p1_found"],
     "stream_latest": """

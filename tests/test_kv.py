@@ -210,7 +210,7 @@ def test_vlog_roundtrip(spark, tmp_path):
     df = spark.createDataFrame(rows, "idx long, term long, voted_for long, key string, value string")
     for layout in ("stored", "demo"):
         path = f"{tmp_path}/{layout}"
-        df.coalesce(1).write.format("vlog").option("layout", layout).mode("append").save(path)
+        df.coalesce(1).write.format("vlog").option("layout", layout).option("splitEvery", 100).mode("append").save(path)
         back = spark.read.format("vlog").option("layout", layout).option("splitBytes", 500).load(path)
         assert back.rdd.getNumPartitions() > 3
         got = back.orderBy("file_offset").collect()

@@ -1,5 +1,6 @@
 """Properties over generated inputs."""
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -26,7 +27,12 @@ def test_log_bytes_roundtrip(tmp_path_factory, rows, demo):
     path = tmp_path_factory.mktemp("log") / "x.vlog"
     rows = [(i, t, v, k, "".join(c for c in x if not "\ud800" <= c <= "\udfff")) for i, t, v, k, x in rows]
     path.write_bytes(b"".join(vlog.pack(i, t, v, k, x, demo) for i, t, v, k, x in rows))
-    got = list(vlog.walk(str(path), demo, 0, path.stat().st_size, True, False))
+    got = [tuple(r.values())[1:] for b in vlog.records(str(path), demo, 0, path.stat().st_size, False) for r in b.to_pylist()]
+    names = ["idx", "term", "voted_for", "key", "value"]
+    if rows:
+        batch = pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows))))
+        data, ends = vlog.encoded(batch, demo)
+        assert data.to_pybytes() == path.read_bytes() and ends.tolist() == [*[r[0] for r in got][1:], path.stat().st_size]
     assert [(r[6], r[7]) for r in got] == [(pad_literal(k), x) for *_, k, x in rows]
     if not demo:
         assert [r[1:4] for r in got] == [x[:3] for x in rows]
