@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlog.functions.keys import clean_op, pad_key
-from strandlog.operators.hot import HOT_PARTS, hot_rows
+from strandlog.operators.hot import hot_rows
 from strandlog.sources.shared import cut, list_names, new_path
 
 #: Operations that set a value, and the one that removes a key.
@@ -106,7 +106,7 @@ class EqualityDeleteTable:
         """Per key the greatest delete and the number of deletes, combined before the shuffle."""
         return self._holding(self._files("delete"), over).groupBy("group_id", "key").agg(F.max("seq").alias("gone"), F.count("*").alias("n"))
 
-    def read(self, parts: int = HOT_PARTS) -> DataFrame:
+    def read(self, parts: int | None = None) -> DataFrame:
         """The live rows: group_id, key, idx, value.
 
         The dead rows of a hot key fall to a broadcast of the at most ``parts`` hot deletes before any

@@ -17,13 +17,16 @@ from strandlog.sources.shared import cut
 
 
 def log_offsets(log: DataFrame) -> DataFrame:
-    """Each record with the byte at which it begins in the log (``offset``) and its length (``size``)."""
-    return numbered(log.withColumn("size", record_bytes(F.col("value"))), ["idx"], {"offset": F.col("size")}).drop("rn")
+    """Each record, without its payload, with the byte at which it begins in the log (``offset``) and its length (``size``)."""
+    return numbered(log.withColumn("size", record_bytes(F.col("value"))).drop("value"), ["idx"], {"offset": F.col("size")}).drop("rn")
 
 
-def compact(log: DataFrame) -> DataFrame:
+def compact(log: DataFrame, payload: bool = True) -> DataFrame:
     """The newest record per key in key order, with its position and byte offset in the compacted segment."""
-    live = latest(log, "value").withColumn("size", record_bytes(F.col("value")))
+    if payload:
+        live = latest(log, "value").withColumn("size", record_bytes(F.col("value")))
+    else:
+        live = latest(log.withColumn("size", record_bytes(F.col("value"))), "size")
     return numbered(live, ["key"], {"offset": F.col("size")}).withColumnRenamed("rn", "position")
 
 
@@ -44,6 +47,17 @@ def liveness(records: DataFrame, index: DataFrame) -> DataFrame:
     return found.withColumn("valid", F.col("_at") == F.col("offset")).drop("_at", "n")
 
 
+def rewrite_live(log: DataFrame) -> DataFrame:
+    """Compaction by index agreement: the records to which the index points, rewritten in key order, with their new offsets.
+
+    Liveness is decided on the records without their payload; only the live ones meet it, by idx.
+    """
+    records = log_offsets(log)
+    live = liveness(records, key_index(records)).filter("valid").select("idx", F.col("offset").alias("old_offset"))
+    kept = log.join(live, "idx").withColumn("size", record_bytes(F.col("value")))
+    return numbered(kept, ["key"], {"offset": F.col("size")}).withColumnRenamed("rn", "position")
+
+
 def garbage(log: DataFrame) -> DataFrame:
     """records, live_records, total_bytes, reclaimable_bytes."""
     sized = log.filter(F.col("key").isNotNull()).withColumn("size", record_bytes(F.col("value")))

@@ -41,6 +41,18 @@ def between(key: Column | str, start: str, end: str) -> Column:
     return c.between(pad_literal(start), pad_literal(end))
 
 
+def number_between(number: str, start: str, end: str) -> Column:
+    """``between`` for the padded form of a whole number, with the bounds as numbers beside it, which reach the Parquet scan.
+
+    Only numbers that are negative or have more than 10 digits may have a padded form in the range without lying in it.
+    """
+    padded = between(pad_key(number), start, end)
+    if not (start.isdigit() and end.isdigit() and len(start) <= 10 and len(end) <= 10):
+        return padded
+    n = F.col(number)
+    return ((n >= int(start)) & (n <= int(end)) | (n < 0) | (n >= 10**10)) & padded
+
+
 def pad_literal(key: str, width: int = 10) -> str:
     return key[:width].rjust(width, "0")
 

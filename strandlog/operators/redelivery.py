@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlog.functions.keys import pad_key
-from strandlog.operators.hot import HOT_PARTS, join_on_keys
+from strandlog.operators.hot import join_on_keys
 from strandlog.sources.shared import cut
 
 #: Numbers in a block; a block holds at most half as many disjoint ranges.
@@ -79,7 +79,7 @@ class SeenRanges:
         self.ranges: DataFrame | None = None
         self.accepted: DataFrame | None = None
 
-    def take(self, batch: DataFrame, remember: bool = True, parts: int = HOT_PARTS) -> DataFrame:
+    def take(self, batch: DataFrame, remember: bool = True, parts: int | None = None) -> DataFrame:
         """Takes a batch (_recv and MESSAGE); the deliveries in it that were asked: _recv, MESSAGE, _first (least receipt of the message in
         the batch), _seen (it was accepted in an earlier batch). All others are accepted. Without ``remember`` it is the last batch."""
         each = batch.groupBy(*NUMBER).agg(F.count("*").alias("_n"))
@@ -122,7 +122,7 @@ def batches_of(df: DataFrame, batches: int) -> list[DataFrame]:
     return [df.filter((F.col("_recv") >= lo + i * step) & (F.col("_recv") < lo + (i + 1) * step)) for i in range(batches) if lo + i * step <= hi]
 
 
-def judge(df: DataFrame, recv: str = "recv_id", client: str = "client_id", seq: str = "seq_id", key: str = "key", batches: int = 1, parts: int = HOT_PARTS) -> tuple[DataFrame, SeenRanges]:
+def judge(df: DataFrame, recv: str = "recv_id", client: str = "client_id", seq: str = "seq_id", key: str = "key", batches: int = 1, parts: int | None = None) -> tuple[DataFrame, SeenRanges]:
     """The copies (_recv, MESSAGE) in ``df``, taken in so many batches, and the ranges after them."""
     state = SeenRanges(df.sparkSession)
     found = df.sparkSession.createDataFrame([], "_recv long, " + ACCEPTED)
@@ -133,7 +133,7 @@ def judge(df: DataFrame, recv: str = "recv_id", client: str = "client_id", seq:
     return found, state
 
 
-def copies(df: DataFrame, recv: str = "recv_id", client: str = "client_id", seq: str = "seq_id", key: str = "key", batches: int = 1, parts: int = HOT_PARTS) -> DataFrame:
+def copies(df: DataFrame, recv: str = "recv_id", client: str = "client_id", seq: str = "seq_id", key: str = "key", batches: int = 1, parts: int | None = None) -> DataFrame:
     """The receipt number of each delivery that isn't the first of its message."""
     return judge(df, recv, client, seq, key, batches, parts)[0].select(F.col("_recv").alias(recv))
 

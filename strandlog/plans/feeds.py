@@ -62,12 +62,12 @@ def _us(later: str, earlier: str):
 
 def p5_get_profile(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "get_request")
-    return skew.key_profile(df, F.col("req_ts"), F.col("client_id"), F.col("client_id"), F.col("err"), _us("logged_ts", "req_ts"), {"p50": 0.5, "p99": 0.99})
+    return skew.key_profile(df, F.col("req_ts"), F.col("client_id"), F.col("err"), _us("logged_ts", "req_ts"), {"p50": 0.5, "p99": 0.99})
 
 
 def p5_put_profile(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "put_request")
-    return skew.key_profile(df, F.col("recv_ts"), F.col("client_id"), F.col("client_id"), F.col("node_id"), _us("recv_ts", "send_ts"), {"p50": 0.5, "p99": 0.99})
+    return skew.key_profile(df, F.col("recv_ts"), F.col("client_id"), F.col("node_id"), _us("recv_ts", "send_ts"), {"p50": 0.5, "p99": 0.99})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -27,8 +27,10 @@ def log(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("event_id").alias("idx"), pad_key("user_id").alias("key"), F.col("props").alias("value"))
 
 
-def numbers(spark: SparkSession, d: str) -> DataFrame:
+def numbers(spark: SparkSession, d: str, keys: tuple[str, str] | None = None) -> DataFrame:
     e = table(spark, d, "events")
+    if keys:
+        e = e.filter(live.number_between("user_id", *keys))
     return e.select(F.col("event_id").alias("idx"), pad_key("user_id").alias("key"), F.col("value"))
 
 
@@ -37,8 +39,7 @@ def asked(spark: SparkSession) -> DataFrame:
 
 
 def point_get(spark: SparkSession, d: str) -> DataFrame:
-    rows = numbers(spark, d).filter(F.col("key") == live.pad_literal("42"))
-    return live.latest(rows, "value")
+    return live.latest(numbers(spark, d, ("42", "42")), "value")
 
 
 def multi_get_nokey(spark: SparkSession, d: str) -> DataFrame:
@@ -53,16 +54,16 @@ def multi_get_inline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def range_scan(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(pad_key("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"))
-    return o.filter(live.between("key", "100", "199"))
+    o = table(spark, d, "orders").filter(live.number_between("o_orderkey", "100", "199"))
+    return o.select(pad_key("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"))
 
 
 def range_scan_live(spark: SparkSession, d: str) -> DataFrame:
-    return live.latest(numbers(spark, d).filter(live.between("key", "10", "20")), "value")
+    return live.latest(numbers(spark, d, ("10", "20")), "value")
 
 
 def scan_reversed_empty(spark: SparkSession, d: str) -> DataFrame:
-    return live.latest(numbers(spark, d).filter(live.between("key", "10050", "9950")), "value")
+    return live.latest(numbers(spark, d, ("10050", "9950")), "value")
 
 
 def scan_as_map(spark: SparkSession, d: str) -> DataFrame:
@@ -93,11 +94,11 @@ def log_append(spark: SparkSession, d: str) -> DataFrame:
 
 
 def compact_sorted(spark: SparkSession, d: str) -> DataFrame:
-    return compact.compact(log(spark, d)).select("key", "idx", "position")
+    return compact.compact(log(spark, d), payload=False).select("key", "idx", "position")
 
 
 def sorted_index(spark: SparkSession, d: str) -> DataFrame:
-    return compact.compact(log(spark, d)).select("key", "offset")
+    return compact.compact(log(spark, d), payload=False).select("key", "offset")
 
 
 def log_offsets(spark: SparkSession, d: str) -> DataFrame:

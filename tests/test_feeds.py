@@ -161,7 +161,7 @@ def test_copies_empty(spark):
 
 def test_busy_keys_and_profile(spark):
     r = random.Random(5)
-    rows = [(r.choice(["1", "01", "2", None, "", "x" * 12, "3"]), r.choice([None, *range(6)]), r.choice([None, "OK", "no"]), r.choice([None, -3, 0, 5, 70_000_000, 2**45, *range(20)]), i) for i in range(800)]
+    rows = [(r.choice(["1", "01", "2", None, "", "x" * 12, "3"]), r.choice([None, *range(6)]), r.choice([None, "OK", "no"]), r.choice([None, -3, 0, 5, 70_000_000, 2**45, 2**63 - 1, -(2**63), *range(20)]), i) for i in range(800)]
     df = spark.createDataFrame(rows, "key string, v long, k string, t long, w long")
     by = defaultdict(list)
     for row in rows:
@@ -169,7 +169,7 @@ def test_busy_keys_and_profile(spark):
             by[pad(row[0])].append(row)
     total = sum(map(len, by.values()))
     assert {x.key for x in skew.busy_keys(df, F.col("v"), 0.2).collect()} == {k for k, x in by.items() if len(x) >= 0.2 * total}
-    got = {x.key: x for x in skew.key_profile(df, F.col("w"), F.col("v"), F.col("v"), F.col("k"), F.col("t"), {"p50": 0.5, "p99": 0.99}).collect()}
+    got = {x.key: x for x in skew.key_profile(df, F.col("w"), F.col("v"), F.col("k"), F.col("t"), {"p50": 0.5, "p99": 0.99}).collect()}
     assert set(got) == set(by)
     for k, x in by.items():
         modes = Counter(y[2] for y in x if y[2] is not None)
@@ -183,6 +183,6 @@ def test_busy_keys_and_profile(spark):
 
 def test_profile_without_values_and_empty(spark):
     schema = "key string, v long, k string, t long"
-    one = skew.key_profile(spark.createDataFrame([("a", None, None, None)], schema), F.col("t"), F.col("v"), F.col("v"), F.col("k"), F.col("t"), {"p50": 0.5}).first()
+    one = skew.key_profile(spark.createDataFrame([("a", None, None, None)], schema), F.col("t"), F.col("v"), F.col("k"), F.col("t"), {"p50": 0.5}).first()
     assert (one.n, one.n_distinct, one.mode, one.p50) == (1, 0, None, None)
     assert skew.busy_keys(spark.createDataFrame([], schema), F.col("v"), 0.01).collect() == []

@@ -12,7 +12,7 @@ from strandlog.functions.keys import pad_key, unpad_key
 from strandlog.operators import compact, consensus, features, live, metrics, ordered, putlog, workload
 from strandlog.plans import kv, work
 from strandlog.sources import csvio, vlog
-from strandlog.sources.generations import Generations
+from strandlog.sources.generations import Conflict, Generations
 
 LOG = "key string, idx long, value string"
 
@@ -65,10 +65,11 @@ def test_latest_equals_dict(spark):
 def test_offsets_are_contiguous_and_compaction_is_idempotent(spark):
     rows, df = random_log(spark, 9, 300)
     at = 0
+    values = {i: v for _, i, v in rows}
     for r in compact.log_offsets(df).orderBy("idx").collect():
         assert r.offset == at
         at += r.size
-        assert r.size == 30 + len((r.value or "").encode())
+        assert r.size == 30 + len((values[r.idx] or "").encode())
     once = compact.compact(df)
     twice = compact.compact(once.select("key", "idx", "value"))
     assert sorted(once.collect()) == sorted(twice.collect())
@@ -79,6 +80,9 @@ def test_offsets_are_contiguous_and_compaction_is_idempotent(spark):
     assert g.total_bytes == at and g.reclaimable_bytes == at - sum(r.size for r in once.collect()) and g.live_records == once.count()
     records = compact.log_offsets(df)
     assert compact.liveness(records, compact.key_index(records)).filter("valid").count() == once.count()
+    assert sorted((r.key, r.idx, r.value, r.offset) for r in compact.rewrite_live(df).collect()) == sorted((r.key, r.idx, r.value, r.offset) for r in once.collect())
+    narrow = compact.compact(df, payload=False)
+    assert sorted(map(tuple, narrow.select("key", "idx", "offset").collect())) == sorted(map(tuple, once.select("key", "idx", "offset").collect()))
 
 
 def test_order_violations_over_blocks(spark, monkeypatch):
@@ -105,6 +109,15 @@ def test_get_scan_merge(spark):
     assert live.merge(newer, lv).count() == 3
 
 
+def test_number_filter_equals_the_padded_one_and_reaches_the_scan(spark, tmp_path):
+    spark.createDataFrame([(n,) for n in (-5, 0, 7, 41, 42, 43, 420, 4_200_000_000, 42_000_000_001, 10**12)], "n long").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    for a, b in (("42", "42"), ("7", "420"), ("4200000000", "4200000000"), ("50", "7"), ("x", "y"), ("0", "12345678901")):
+        assert df.filter(live.number_between("n", a, b)).collect() == df.filter(live.between(F.lpad(F.col("n").cast("string"), 10, "0"), a, b)).collect()
+    plan = df.filter(live.number_between("n", "42", "42"))._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(n,42)" in plan and "LessThanOrEqual(n,42)" in plan
+
+
 def test_range_filter_reaches_the_scan(spark, tmp_path):
     spark.createDataFrame([(pad("1"), "a")], "key string, value string").write.parquet(f"{tmp_path}/t")
     plan = spark.read.parquet(f"{tmp_path}/t").filter(live.between("key", "1", "2")).select("key")._jdf.queryExecution().toString()
@@ -173,7 +186,7 @@ def test_the_cap_alone_ends_a_batch(spark, tmp_path):
 def test_every_key_is_rewritten(spark, tmp_path):
     rows = [(i, i % 7, f"v{i}") for i in range(40)]
     spark.createDataFrame(rows, "event_id long, user_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
-    got = {(r.key, r.idx, r.value) for r in work.QUERIES["rmw_all"](spark, str(tmp_path)).collect()}
+    got = {(r.key, r.idx, r.value) for r in work.QUERIES["rmw_last"](spark, str(tmp_path)).collect()}
     assert got == {(f"{u:010}", i + 1_000_000, f"v{i}") for u, i in {u: i for i, u, _ in rows}.items()}
 
 
@@ -247,8 +260,31 @@ def test_generations(spark, tmp_path):
         g.compact()
         assert sorted(map(tuple, g.read().collect())) == before and len(g.manifest()["live"]) == 1
     version = g.manifest()["version"]
-    with pytest.raises(RuntimeError):
+    with pytest.raises(Conflict):
         g._swap([], version - 1)
+    assert g.manifest()["version"] == version and len(g.vacuum()) > 2 and sorted(map(tuple, g.read().collect())) == before
+
+
+def test_generations_of_writers_that_meet_or_die(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/g"
+    a, b = Generations(spark, root), Generations(spark, root)
+    row = lambda k: spark.createDataFrame([(k, 1, k)], LOG)
+    swap, times = a._swap, []
+
+    def second(live, version):
+        if not times:
+            times.append(b.append(row("b")))  # another writer is first
+        swap(live, version)
+
+    monkeypatch.setattr(a, "_swap", second)
+    a.append(row("a"))
+    assert sorted(r.key for r in a.read().collect()) == ["a", "b"] and a.manifest()["version"] == 2
+    times.clear()
+    a.compact()  # keeps what came meanwhile
+    assert sorted(r.key for r in a.read().collect()) == ["a", "b"] and [x["sorted"] for x in a.manifest()["live"]] == [True, False]
+    row("dead").write.parquet(f"{root}/gen=4-dead")  # of a writer that died before its swap
+    b.append(row("c"))
+    assert sorted(r.key for r in b.read().collect()) == ["a", "b", "c"]
 
 
 def test_csv(spark, tmp_path):
