@@ -66,6 +66,12 @@ def position_of(values: Column, value: Column) -> Column:
     return F.array_position(values, value).cast("long") - 1
 
 
+def log_place(idx: Column, first: Column | None = None) -> Column:
+    """Place of an entry in the array that holds a log from index ``first`` (1 if left out) on; null before it."""
+    at = idx - (first if first is not None else F.lit(1))
+    return F.when(at >= 0, at)
+
+
 def clock_dominated(own: Column, other: Column) -> Column:
     """Whether clock ``other`` (a map) has every entry of ``own`` at least as high.
 

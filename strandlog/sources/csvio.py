@@ -12,10 +12,21 @@ from strandlog.operators.ordered import numbered
 COUNT_ROWS = 1000
 
 
+def in_file_order(spark: SparkSession, path: str) -> DataFrame:
+    """All columns of CSV files with headers, as texts, with ``rn``: the place of the line in the order of files and lines."""
+    lines = spark.read.csv(path, header=True).withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()})
+    return numbered(lines, ["_file", "_start", "_line"]).drop("_file", "_start", "_line")
+
+
 def read_series(spark: SparkSession, path: str, columns: tuple[str, ...] = ("time", "low"), rows: int = 300_000) -> DataFrame:
     """The named columns of the first rows, as doubles, with their order ``idx``."""
-    whole = spark.read.csv(path, header=True)
-    return whole.select(*(F.col(c).try_cast("double").alias(c) for c in columns)).limit(rows).withColumn("idx", F.monotonically_increasing_id())
+    return in_file_order(spark, path).filter(F.col("rn") < rows).select(*(F.col(c).try_cast("double").alias(c) for c in columns), F.col("rn").alias("idx"))
+
+
+def read_counts(spark: SparkSession, path: str, column: int = 1, rows: int = COUNT_ROWS - 1) -> DataFrame:
+    """(idx, value): a column, by its place from 0, of the first rows as a double."""
+    whole = in_file_order(spark, path)
+    return whole.filter(F.col("rn") < rows).select(F.col("rn").alias("idx"), F.col(whole.columns[column]).try_cast("double").alias("value"))
 
 
 def first_in_order(df: DataFrame, order: list[str], value: Column, rows: int = COUNT_ROWS - 1) -> DataFrame:

@@ -137,6 +137,27 @@ def test_consensus(spark):
     assert one(spark, consensus.follower_commit(F.lit(9), F.lit(4))) == 4
 
 
+def test_append_replies_and_backoff(spark):
+    entry, ask = "grp int, idx long, term long", "grp int, prev_idx long, prev_term long, leader_commit long, own_commit long"
+    follower = spark.createDataFrame([(g, i, t) for g in range(1, 6) for i, t in ((1, 1), (2, 1), (3, 2), (4, 2))], entry)
+    leader = spark.createDataFrame([(g, i, t) for g in range(1, 6) for i, t in ((1, 1), (2, 1), (3, 2), (4, 3), (5, 3))], entry)
+    # after the third entry; after nothing; beyond the end; where the terms differ; no entries after the end
+    asked = spark.createDataFrame([(1, 3, 2, 9, 0), (2, 0, 0, 2, 1), (3, 7, 3, 9, 1), (4, 4, 3, 9, 1), (5, 2, 1, 1, 2), (6, 1, 1, 3, 0)], ask)
+    got = {r.grp: (r.success, r.conflict_term, r.conflict_idx, r.last_idx, r.commit_idx) for r in consensus.append_replies(follower, leader, asked).collect()}
+    assert got == {1: (True, -1, None, 5, 5), 2: (True, -1, None, 5, 2), 3: (False, -1, 5, 4, 1), 4: (False, 2, 3, 4, 1), 5: (True, -1, None, 5, 2), 6: (False, -1, 1, 0, 0)}
+    refused = spark.createDataFrame([(1, 4, 3, 1), (2, 3, 2, 1), (3, 7, -1, 5), (4, 2, 1, 1), (5, 4, 2, 3)], "grp int, prev_idx long, conflict_term long, conflict_idx long")
+    # behind the last entry of another term at or before prev_idx; none: what the follower named
+    assert {r.grp: r.next_idx for r in consensus.backoff(leader, refused).collect()} == {1: 4, 2: 3, 3: 5, 4: 1, 5: 5}
+
+
+def test_one_vote_a_term(spark):
+    requests = [(1, 1, 2, "a", 1, 5), (1, 2, 2, "b", 9, 9), (1, 3, 2, "a", 1, 5), (1, 4, 3, "b", 0, 9), (1, 5, 3, "c", 1, 5), (1, 6, 2, "a", 9, 9), (1, 7, 3, "b", 9, 9), (2, 1, 4, "x", 1, 5), (2, 2, 4, "y", 1, 5), (2, 3, 3, "y", 1, 5), (2, 4, 5, "x", 1, 5)]
+    r = spark.createDataFrame(requests, "voter int, seq int, term int, candidate string, last_term int, last_idx int")
+    v = spark.createDataFrame([(1, 1, None, 1, 5), (2, 4, "y", 1, 5)], "voter int, own_term int, voted_for string, own_last_term int, own_last_idx int")
+    got = {(x.voter, x.seq) for x in consensus.votes(r, v).filter("granted").collect()}
+    assert got == {(1, 1), (1, 3), (1, 5), (2, 2), (2, 4)}
+
+
 def test_rising_only_over_ranges(spark):
     r = random.Random(4)
     rows = [(i, r.choice([1, 1, 1, 2, None]), r.randrange(50)) for i in range(400)]
