@@ -53,7 +53,7 @@ def split(df: DataFrame, ident: Column, train_percent: int = 80) -> DataFrame:
 
 
 def lstm_scores(seqs: DataFrame, weights: dict[str, np.ndarray], seq: str = "seq", ident: str = "idx") -> DataFrame:
-    """(ident, score) by a one-layer LSTM with a linear output, on whole batches of sequences.
+    """(ident, score) by a one-layer LSTM with a linear output, on whole batches of sequences of numbers or of arrays of k numbers.
 
     ``weights``: wx (4h, k), wh (4h, h), b (4h), out (h), bias; gates in the order input, forget, cell, output.
     """
@@ -66,7 +66,7 @@ def lstm_scores(seqs: DataFrame, weights: dict[str, np.ndarray], seq: str = "seq
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = np.stack([np.asarray(s, dtype=float).reshape(len(s), -1) for s in pdf[seq]])
+            x = np.array([[np.ravel(step) for step in s] for s in pdf[seq]], dtype=float)
             h, c = np.zeros((len(x), n)), np.zeros((len(x), n))
             for step in range(x.shape[1]):
                 z = x[:, step] @ wx.T + h @ wh.T + b

@@ -1,8 +1,8 @@
 """Throughput and latency roll-ups, one named variant per way of measuring. MB are 1,000,000 bytes.
 
-Input: one row per operation with client, ok (boolean), is_read, latency_ns, size. Two levels: per client, then over clients.
-Defined cases: null or negative latencies and sizes count as 0; null ok is a failure; a group whose longest client took no time
-has null throughput; a client without successes has no mean latency.
+Input: one row per operation with client, ok (boolean), is_read, latency_ns, size, items (what a scan found). Two levels: per client, then
+over clients. Defined cases: null or negative latencies, sizes and items count as 0; null ok is a failure; a group whose longest
+client took no time has null throughput; a client without successes has no mean latency. Scans that failed or found nothing don't count.
 """
 
 from __future__ import annotations
@@ -16,12 +16,13 @@ DIGITS = 6
 
 
 def per_client(ops: DataFrame, groups: list[str]) -> DataFrame:
-    lat = F.when(F.col("latency_ns") > 0, F.col("latency_ns")).otherwise(0)
-    size = F.when(F.col("size") > 0, F.col("size")).otherwise(0)
+    positive = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(0)
+    lat, size = positive("latency_ns"), positive("size")
     ok, read = F.coalesce("ok", F.lit(False)), F.coalesce("is_read", F.lit(False))
+    items = F.when(ok & read, positive("items")).otherwise(0)
     return ops.groupBy(*groups, "client").agg(
-        F.count("*").alias("n"), F.count_if(ok).alias("good"), F.sum(lat).alias("elapsed"), F.max(size).alias("size"),
-        F.count_if(read).alias("reads"), F.sum(F.when(read, lat).otherwise(0)).alias("read_elapsed"), F.sum(F.when(ok, size).otherwise(0)).alias("moved"))
+        F.count("*").alias("n"), F.count_if(ok).alias("good"), F.sum(lat).alias("elapsed"), F.max(size).alias("size"), F.sum(items).alias("items"), F.count_if(items > 0).alias("scans"),
+        F.sum(F.when(items > 0, lat).otherwise(0)).alias("scan_elapsed"), F.sum(items * size).alias("scanned"), F.sum(F.when(ok & ~read, size).otherwise(0)).alias("put"))
 
 
 def rate(nbytes: Column, nanos: Column) -> Column:
@@ -34,17 +35,18 @@ def variants() -> dict[str, tuple[Column, Column]]:
     c = F.col
     longest, clients = F.max("elapsed"), F.count("*")
     mean_good = F.avg(F.when(c("good") > 0, F.floor(c("elapsed") / c("good"))))
+    mean_scan = F.sum(F.when(c("scans") > 0, F.floor(c("scan_elapsed") / c("scans"))).otherwise(0)) / clients
     nothing = F.lit(None).cast("double")
     return {
         "wall_clock": (rate(F.sum("good") * F.max("size"), longest), nothing),
         "mean_of_clients": (F.avg(rate(c("good") * c("size"), c("elapsed"))), mean_good),
         "longest_client": (rate(F.sum(c("good") * c("size")), longest), mean_good),
-        "fixed_reply": (rate(F.sum("n") * REPLY_BYTES, longest), nothing),
-        "fixed_item": (rate(F.sum("n") * ITEM_BYTES, longest), nothing),
-        "scan_clients": (rate(F.sum(c("n") * c("size")), longest), F.sum(c("elapsed") / c("n")) / clients),
+        "fixed_reply": (rate(F.sum("good") * REPLY_BYTES, longest), nothing),
+        "fixed_item": (rate(F.sum("items") * ITEM_BYTES, longest), nothing),
+        "scan_clients": (rate(F.sum("scanned"), F.max("scan_elapsed")), mean_scan),
         "mixed": (rate(F.sum("good") * F.max("size"), longest), F.sum(F.when(c("good") > 0, c("elapsed") / c("good")).otherwise(0)) / clients),
         "load_all_operations": (rate(F.sum("n") * F.max("size"), longest), F.sum("elapsed") / F.sum("n")),
-        "scan_mix": (rate(F.sum("moved"), F.max("read_elapsed")), F.sum(F.when(c("reads") > 0, c("read_elapsed") / c("reads")).otherwise(0)) / clients),
+        "scan_mix": (rate(F.sum("put") + F.sum("scanned"), F.max("scan_elapsed")), mean_scan),
     }
 
 
@@ -73,6 +75,17 @@ def client_throughput(ops: DataFrame) -> DataFrame:
     return per.agg(F.sum("b").alias("total_bytes"), F.max("e").alias("max_elapsed_us")).withColumn("mb_per_s", F.round(F.col("total_bytes").cast("double") / F.col("max_elapsed_us"), DIGITS))
 
 
+def wall_clock(ops: DataFrame, groups: list[str]) -> DataFrame:
+    """Of ops (groups..., ok, size, started, ended in microseconds): operations that succeeded, wall time, and MB per second if each moved the largest size.
+
+    The clock runs from the first start to the last end; operations without either, or that end before they start, don't move it.
+    """
+    timed = F.col("ended") >= F.col("started")
+    per = ops.groupBy(*groups).agg(F.count_if(F.coalesce("ok", F.lit(False))).alias("good"), F.max(F.when(F.col("size") > 0, F.col("size")).otherwise(0)).alias("size"),
+                                   (F.max(F.when(timed, F.col("ended"))) - F.min(F.when(timed, F.col("started")))).alias("wall_us"))
+    return per.select(*groups, "good", "wall_us", F.round(rate(F.col("good") * F.col("size"), F.col("wall_us") * 1000), DIGITS).alias("mb_per_s"))
+
+
 def mean_of_means(df: DataFrame, client: str, value: str) -> DataFrame:
     per = df.groupBy(client).agg(F.avg(value).alias("m"))
     return per.agg(F.round(F.avg("m"), DIGITS).alias("avg_of_avgs"), F.count("*").alias("clients"))

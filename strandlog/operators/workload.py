@@ -87,6 +87,12 @@ def scan_ranges(spark: SparkSession, n: int, starts: int, width: int = SCAN_WIDT
     return r.withColumn("reversed", F.col("lo").cast("string") > F.col("hi").cast("string"))
 
 
+def scan_mix(spark: SparkSession, n: int, write_share: float, last_key: int, width: int = SCAN_WIDTH) -> DataFrame:
+    """op_id, is_write, lo, hi: writes of one key, and scans of ``width`` + 1 keys of which none lies behind ``last_key``."""
+    mixed = operation_mix(spark, n, write_share, last_key + 1)
+    return mixed.select("op_id", "is_write", F.col("key").alias("lo"), F.when(F.col("is_write"), F.col("key")).otherwise(F.least(F.col("key") + width, F.lit(last_key))).alias("hi"))
+
+
 def operation_mix(spark: SparkSession, n: int, write_share: float, keys: int) -> DataFrame:
     """op_id, is_write, key: exactly round(share * n) writes in shuffled places; writes permute the keys, reads redraw."""
     writes = round(write_share * n)

@@ -11,7 +11,7 @@ from strandlog.functions.keys import pad_key
 from strandlog.functions.scalars import clock_start, random_value, request_id
 from strandlog.operators import compact, consensus, features, live, metrics, workload
 from strandlog.plans import feeds
-from strandlog.plans.kv import log
+from strandlog.plans.kv import SEQUENCE, THRESHOLD, WINDOW, log, series
 from strandlog.sources import vlog
 from strandlog.sources.generations import Generations
 from strandlog.sources.shared import age_files, new_path
@@ -22,12 +22,15 @@ from strandlog.streaming import latest as streams
 TIMEOUT = 3
 #: Sizes of the generated workloads.
 OPS, KEYS, CLIENTS = 20_000, 5_000, 16
+#: Width of large scans, and the last key of mixed ones.
+WIDE, LAST_KEY = 256_000, 38_062
 
 
 def operations(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "workload_stats")
     return w.select("workload", "run_id", "client", F.col("success").alias("ok"), (~F.col("is_write")).alias("is_read"),
-                    F.greatest("read_latency_ns", "write_latency_ns").alias("latency_ns"), F.col("value_size").cast("long").alias("size"))
+                    F.greatest("read_latency_ns", "write_latency_ns").alias("latency_ns"), F.col("value_size").cast("long").alias("size"),
+                    (F.col("value_size") % 101).cast("long").alias("items"))  # the table has no number of items; this stands for it
 
 
 def client_throughput(spark: SparkSession, d: str) -> DataFrame:
@@ -35,6 +38,13 @@ def client_throughput(spark: SparkSession, d: str) -> DataFrame:
     return metrics.client_throughput(e.select(F.col("user_id").alias("client"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.octet_length("props").cast("long").alias("size")))
 
 
+def wall_throughput(spark: SparkSession, d: str) -> DataFrame:
+    """Of each node's deliveries the throughput by the clock, from the first that was sent to the last received."""
+    p = table(spark, d, "put_request")
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return metrics.wall_clock(p.select("node_id", F.col("value").isNotNull().alias("ok"), F.octet_length("value").cast("long").alias("size"), us("send_ts").alias("started"), us("recv_ts").alias("ended")), ["node_id"])
+
+
 def avg_of_avgs(spark: SparkSession, d: str) -> DataFrame:
     return metrics.mean_of_means(table(spark, d, "events"), "user_id", "value")
 
@@ -90,13 +100,42 @@ def gen_scan_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_workload(spark: SparkSession, d: str) -> DataFrame:
-    """Rows and value of the orders in each generated range; reversed ranges find nothing."""
-    ranges = workload.scan_ranges(spark, 500, 10_000).filter("not reversed")
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("value"))
+    """Rows and value of the orders in generated ranges over all of their keys, one for every 20 orders; reversed ranges find nothing."""
+    orders = table(spark, d, "orders")
+    n = orders.count()
+    ranges = workload.scan_ranges(spark, n // 20, max(1, n)).filter("not reversed")
+    o = orders.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("value"))
     found = live.range_lookup(o, ranges, workload.SCAN_WIDTH)
     return found.groupBy("range_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("decimal(18,2)")), 2).cast("double").alias("total"))
 
 
+def gen_wide_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Ranges of 256,000 keys, as large scans take them."""
+    return workload.scan_ranges(spark, 400, 6_300_000, WIDE).drop("reversed")
+
+
+def wide_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and value of the line items in ranges of 256,000 keys that begin below 20,000."""
+    ranges = workload.scan_ranges(spark, 8, 20_000, WIDE).select("range_id", "lo", "hi")
+    # Items are summed by key first, so that a range meets one row a key.
+    per = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("q"))
+    found = live.range_lookup(per, ranges, WIDE)
+    return found.groupBy("range_id").agg(F.sum("n").alias("n"), F.sum("q").cast("double").alias("quantity"))
+
+
+def gen_scan_mix(spark: SparkSession, d: str) -> DataFrame:
+    return workload.scan_mix(spark, OPS, 0.05, LAST_KEY)
+
+
+def scan_mix_items(spark: SparkSession, d: str) -> DataFrame:
+    """Of mixed scans and writes over the orders, how many scans found how many items."""
+    ops = workload.scan_mix(spark, OPS, 0.05, LAST_KEY)
+    scans = ops.filter("not is_write").select(F.col("op_id").alias("range_id"), "lo", "hi")
+    found = live.range_lookup(table(spark, d, "orders").select(F.col("o_orderkey").alias("k")), scans, workload.SCAN_WIDTH).groupBy("range_id").agg(F.count("*").alias("items"))
+    each = ops.join(found, ops["op_id"] == found["range_id"], "left").select("is_write", F.coalesce("items", F.lit(0)).alias("items"))
+    return each.groupBy("is_write", "items").agg(F.count("*").alias("n"))
+
+
 def gen_operation_mix(spark: SparkSession, d: str) -> DataFrame:
     return workload.operation_mix(spark, OPS, 0.05, KEYS)
 
@@ -234,21 +273,22 @@ def stream_timeouts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lstm_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of 32-row sequences by a small network with fixed weights."""
+    """Scores of sequences of 32 row windows, each by its time and its period, by a small network with fixed weights."""
     import numpy as np
 
-    h, k = 8, 1
+    h, k = 8, 2
     rng = np.random.default_rng(7)
     weights = {"wx": rng.normal(0, 0.3, (4 * h, k)), "wh": rng.normal(0, 0.3, (4 * h, h)), "b": np.zeros(4 * h), "out": rng.normal(0, 0.3, h), "bias": 0.1}
-    e = table(spark, d, "events").select(F.col("event_id").alias("idx"), F.lit(0).alias("t"), (F.col("value") / 100).alias("v"))
-    return features.lstm_scores(features.sequences(e, 32), weights).withColumn("score", F.round("score", 6))
+    w = features.with_period(features.row_windows(series(spark, d), WINDOW, THRESHOLD))
+    e = w.select(F.col("win").alias("idx"), F.array(F.col("read_time") / 1e15, F.col("period") / 1e9).alias("v"))
+    return features.lstm_scores(features.sequences(e, SEQUENCE), weights).withColumn("score", F.round("score", 6))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        client_throughput, avg_of_avgs, metric_rollups, repeated_runs, measured_means, op_mix, rmw_last, zipf_mass, gen_random_writes, gen_shuffled_slices,
-        gen_sequential_writes, gen_uniform_reads, gen_zipf_reads, gen_scan_ranges, scan_workload, gen_operation_mix, gen_load_inserts, gen_values, clock_starts, vlog_roundtrip, vlog_demo, value_deref,
+        client_throughput, wall_throughput, avg_of_avgs, metric_rollups, repeated_runs, measured_means, op_mix, rmw_last, zipf_mass, gen_random_writes, gen_shuffled_slices,
+        gen_sequential_writes, gen_uniform_reads, gen_zipf_reads, gen_scan_ranges, gen_wide_ranges, gen_scan_mix, scan_workload, scan_mix_items, wide_scan, gen_operation_mix, gen_load_inserts, gen_values, clock_starts, vlog_roundtrip, vlog_demo, value_deref,
         generations_view, range_scan_stored, compaction_schedule, committed_reads, stream_apply, stream_latest, stream_spells, stream_sessions, stream_timeouts, lstm_scores,
     )
 }
@@ -260,10 +300,11 @@ def _digest(seed: str, col: str = "id") -> str:
 
 _OPS = """
 with o as (select workload, run_id, client, coalesce(success, false) as ok, coalesce(not is_write, false) as rd,
-  greatest(coalesce(greatest(read_latency_ns, write_latency_ns), 0), 0) as lat, greatest(coalesce(value_size, 0), 0) as size from workload_stats)
+  greatest(coalesce(greatest(read_latency_ns, write_latency_ns), 0), 0) as lat, greatest(coalesce(value_size, 0), 0) as size, greatest(coalesce(value_size % 101, 0), 0) as it from workload_stats)
 """
-_CLIENTS = """, c as (select {g}, client, count(*) as n, count(*) filter (ok) as good, sum(lat) as elapsed, max(size) as size, count(*) filter (rd) as reads,
-  sum(case when rd then lat else 0 end) as read_elapsed, sum(case when ok then size else 0 end) as moved from o group by {g}, client)
+_CLIENTS = """, c as (select {g}, client, count(*) as n, count(*) filter (ok) as good, sum(lat) as elapsed, max(size) as size, sum(it) filter (ok and rd) as items,
+  count(*) filter (ok and rd and it > 0) as scans, coalesce(sum(lat) filter (ok and rd and it > 0), 0) as scan_elapsed, coalesce(sum(it * size) filter (ok and rd), 0) as scanned,
+  coalesce(sum(size) filter (ok and not rd), 0) as put from o group by {g}, client)
 """
 
 
@@ -272,20 +313,26 @@ def _rate(b: str, ns: str) -> str:
 
 
 _MEAN = "round(avg(case when good > 0 then cast(floor(cast(elapsed as double) / good) as double) end), 6)"
+_SCAN_MEAN = "round(cast(sum(case when scans > 0 then floor(cast(scan_elapsed as double) / scans) else 0 end) as double) / count(*), 6)"
 _VARIANTS = {
     "wall_clock": (_rate("sum(good) * max(size)", "max(elapsed)"), "cast(null as double)"),
     "mean_of_clients": ("round(avg(case when elapsed > 0 then cast(good * size as double) / 1e6 / (cast(elapsed as double) / 1e9) end), 6)", _MEAN),
     "longest_client": (_rate("sum(good * size)", "max(elapsed)"), _MEAN),
-    "fixed_reply": (_rate("sum(n) * 1000", "max(elapsed)"), "cast(null as double)"),
-    "fixed_item": (_rate("sum(n) * 4000", "max(elapsed)"), "cast(null as double)"),
-    "scan_clients": (_rate("sum(n * size)", "max(elapsed)"), "round(sum(cast(elapsed as double) / n) / count(*), 6)"),
+    "fixed_reply": (_rate("sum(good) * 1000", "max(elapsed)"), "cast(null as double)"),
+    "fixed_item": (_rate("coalesce(sum(items), 0) * 4000", "max(elapsed)"), "cast(null as double)"),
+    "scan_clients": (_rate("sum(scanned)", "max(scan_elapsed)"), _SCAN_MEAN),
     "mixed": (_rate("sum(good) * max(size)", "max(elapsed)"), "round(sum(case when good > 0 then cast(elapsed as double) / good else 0 end) / count(*), 6)"),
     "load_all_operations": (_rate("sum(n) * max(size)", "max(elapsed)"), "round(cast(sum(elapsed) as double) / cast(sum(n) as double), 6)"),
-    "scan_mix": (_rate("sum(moved)", "max(read_elapsed)"), "round(sum(case when reads > 0 then cast(read_elapsed as double) / reads else 0 end) / count(*), 6)"),
+    "scan_mix": (_rate("sum(put) + sum(scanned)", "max(scan_elapsed)"), _SCAN_MEAN),
 }
 _SHUFFLE = _digest("shuffle")
 _MIX = _digest("mix")
 _SCAN = f", r as (select id as range_id, {_digest('scan')} % 10000 as lo from g), q as (select range_id, lo, lo + 100 as hi, cast(lo as varchar) > cast(lo + 100 as varchar) as reversed from r)"
+_SCAN_MIX = f"""
+with g as (select range as id from range({OPS})), o as (select id, row_number() over (order by {_MIX}, id) - 1 as rn from g),
+k as (select id as op_id, rn < {round(0.05 * OPS)} as is_write, case when rn < {round(0.05 * OPS)} then rn % {LAST_KEY + 1} else {_digest('mix-read')} % {LAST_KEY + 1} end as lo from o),
+m as (select op_id, is_write, lo, case when is_write then lo else least(lo + 100, {LAST_KEY}) end as hi from k)
+"""
 _G500 = "with g as (select range as id from range(500))"
 
 ORACLE: dict[str, str] = {
@@ -307,7 +354,15 @@ c as (select rank, sum(w) over (order by rank) - w as lo, sum(w) over (order by
 u as (select range as op_id, {_digest('zipf', 'range')} % (select sum(w) from k) as u from range({OPS}))
 select op_id, rank as key from u join c on u.u >= c.lo and u.u < c.hi""",
     "gen_scan_ranges": _G500 + _SCAN + " select * from q",
-    "scan_workload": _G500 + _SCAN + " select range_id, count(*) as n, cast(round(sum(cast(o_totalprice as decimal(18, 2))), 2) as double) as total from q join orders on o_orderkey between lo and hi where not reversed group by 1",
+    "scan_workload": "with g as (select unnest(range(0, (select count(*) // 20 from orders))) as id)" + _SCAN.replace("% 10000", "% (select count(*) from orders)") + " select range_id, count(*) as n, cast(round(sum(cast(o_totalprice as decimal(18, 2))), 2) as double) as total from q join orders on o_orderkey between lo and hi where not reversed group by 1",
+    "gen_wide_ranges": f"with r as (select range as range_id, {_digest('scan', 'range')} % 6300000 as lo from range(400)) select range_id, lo, lo + {WIDE} as hi from r",
+    "wide_scan": f"with r as (select range as range_id, {_digest('scan', 'range')} % 20000 as lo from range(8)) select range_id, cast(count(*) as bigint) as n, cast(sum(cast(l_quantity as decimal(18, 2))) as double) as quantity from r join lineitem on l_orderkey between lo and lo + {WIDE} group by 1",
+    "gen_scan_mix": _SCAN_MIX + "select op_id, is_write, lo, hi from m",
+    "scan_mix_items": _SCAN_MIX + ", f as (select op_id, count(*) as items from m join orders on o_orderkey between lo and hi where not is_write group by 1) select is_write, coalesce(items, 0) as items, count(*) as n from m left join f using (op_id) group by all",
+    "wall_throughput": """
+with t as (select node_id, value is not null as ok, octet_length(encode(value)) as size, epoch_us(send_ts) as a, epoch_us(recv_ts) as z from put_request),
+p as (select node_id, count(*) filter (ok) as good, coalesce(max(size) filter (size > 0), 0) as size, max(z) filter (z >= a) - min(a) filter (z >= a) as wall_us from t group by 1)
+select node_id, good, wall_us, round(case when wall_us > 0 then cast(good * size as double) / 1e6 / (cast(wall_us * 1000 as double) / 1e9) end, 6) as mb_per_s from p""",
     "gen_operation_mix": f"with g as (select range as id from range({OPS})), o as (select id, row_number() over (order by {_MIX}, id) - 1 as rn from g) select id as op_id, rn < {round(0.05 * OPS)} as is_write, case when rn < {round(0.05 * OPS)} then rn % {KEYS} else {_digest('mix-read')} % {KEYS} end as key from o",
     "gen_load_inserts": f"with g as (select range as id from range({OPS})), o as (select id, row_number() over (order by {_MIX}, id) - 1 as rn from g) select id as op_id, rn < {OPS // 2} as is_write, case when rn < {OPS // 2} then rn + 2000001 else {_digest('load-read')} % 2000000 end as key from o",
     "range_scan_stored": "select lpad(cast(user_id as varchar), 10, '0') as key, event_id as idx, props as value from events where user_id between 10 and 20 qualify row_number() over (partition by user_id order by event_id desc) = 1",

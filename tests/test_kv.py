@@ -182,6 +182,20 @@ def test_features_over_blocks(spark, monkeypatch):
     assert [r.write_counts for r in w] == [sum(abs(v[j] - v[j - 1]) > 0.5 for j in range(max(1, i), i + 10)) for i in range(0, 70, 10)]
 
 
+def test_lstm_of_two_inputs(spark):
+    rng = np.random.default_rng(3)
+    w = {"wx": rng.normal(size=(8, 2)), "wh": rng.normal(size=(8, 2)), "b": rng.normal(size=8), "out": np.array([1.0, -2.0]), "bias": 0.5}
+    seq = rng.normal(size=(4, 2)).tolist()
+    act = lambda z: 1 / (1 + np.exp(-z))
+    h, c = np.zeros(2), np.zeros(2)
+    for x in seq:
+        z = w["wx"] @ np.array(x) + w["wh"] @ h + w["b"]
+        c = act(z[2:4]) * c + act(z[:2]) * np.tanh(z[4:6])
+        h = act(z[6:]) * np.tanh(c)
+    got = features.lstm_scores(spark.createDataFrame([(1, seq), (2, seq)], "idx long, seq array<array<double>>"), w).collect()
+    assert np.allclose([r.score for r in got], h @ w["out"] + 0.5)
+
+
 def test_lstm_matches_plain_python(spark):
     import numpy as np
 
@@ -231,10 +245,12 @@ def test_workloads(spark):
 
 
 def test_metrics_defined_cases(spark):
-    rows = [("w", 1, True, True, 10**9, 10**6), ("w", 1, False, True, 10**9, 10**6), ("w", 2, None, None, -1, None), ("z", 1, False, False, None, 5)]
-    ops = spark.createDataFrame(rows, "workload string, client int, ok boolean, is_read boolean, latency_ns long, size long")
+    rows = [("w", 1, True, True, 10**9, 10**6, 3), ("w", 1, False, True, 10**9, 10**6, 7), ("w", 2, None, None, -1, None, None), ("z", 1, False, False, None, 5, None), ("w", 2, True, True, 10**8, 10**6, 0), ("w", 2, True, False, 10**7, 10**6, 5)]
+    ops = spark.createDataFrame(rows, "workload string, client int, ok boolean, is_read boolean, latency_ns long, size long, items long")
     got = {(r.workload, r.variant): (r.mb_per_s, r.latency_ns) for r in metrics.rollup(ops, ["workload"]).collect()}
-    assert got["w", "longest_client"] == (0.5, 2e9) and got["w", "load_all_operations"] == (1.5, round(2e9 / 3, 6)) and got["z", "wall_clock"] == (None, None)
+    assert got["w", "longest_client"] == (1.5, (2e9 + 5.5e7) / 2) and got["z", "wall_clock"] == (None, None) and got["w", "fixed_reply"] == (0.0015, None)
+    # of the scans one failed and one found nothing; the write counts in the mix only
+    assert got["w", "fixed_item"] == (0.006, None) and got["w", "scan_clients"] == (3.0, 5e8) and got["w", "scan_mix"] == (4.0, 5e8)
     assert len(got) == 2 * len(metrics.variants())
 
 
