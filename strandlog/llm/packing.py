@@ -38,6 +38,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 BUCKET = 100_000
 #: Exhausted lengths after which the index of sums is rebuilt.
 REBUILD = 64
+#: Lengths in the complements that are searched for, each by itself.
+DEPTHS = (4, 2, 1)
 
 _encodings: dict = {}
 
@@ -105,12 +107,16 @@ class Sums:
                 return [lo + i, gap - lo - i]
         return None
 
-    def fill(self, gap: int, taken: list[int]) -> list[int] | None:
-        """The fewest available lengths, up to four, whose sum is ``gap``, the longest first; ``taken`` are taken already."""
+    def fill(self, gap: int, taken: list[int], most: int = 4) -> list[int] | None:
+        """The fewest available lengths, up to ``most`` (1, 2 or 4), whose sum is ``gap``, the longest first; ``taken`` are taken already."""
         if self.count[gap] and self.free(taken, gap):
             return [gap]
+        if most == 1:
+            return None
         if found := self.two[gap] and self.pair(gap, gap - 1, taken):
             return found
+        if most == 2:
+            return None
         there = self.count > 0
         if self.three[gap]:
             lo = -(-gap // 3)
@@ -133,7 +139,15 @@ class Sums:
 
 
 def patterns(count: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
-    """(number of containers, the lengths in each) that place all items of lengths 1 to ``capacity``."""
+    """(number of containers, the lengths in each) that place all items of lengths 1 to ``capacity``.
+
+    Combinations of many lengths leave fewer short ones for the residuals, so that shallower searches are made, too; the least number of containers wins.
+    """
+    return min((complements(count, capacity, most) for most in DEPTHS), key=lambda found: sum(n for n, _ in found))
+
+
+def complements(count: dict[int, int], capacity: int, most: int) -> list[tuple[int, list[int]]]:
+    """``patterns`` of one search with complements of up to ``most`` lengths."""
     left = np.zeros(capacity + 1, dtype=np.int64)
     for x, n in count.items():
         if 0 < x <= capacity:
@@ -143,7 +157,7 @@ def patterns(count: dict[int, int], capacity: int) -> list[tuple[int, list[int]]
     sums = Sums(left)
     for x in np.flatnonzero(left)[::-1].tolist():
         while left[x]:
-            mates = sums.fill(capacity - x, [x])
+            mates = sums.fill(capacity - x, [x], most)
             if mates is None:
                 break
             need = Counter([x, *mates])
@@ -198,15 +212,16 @@ def slots(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["size_id", "n", "start", "container"])
 
 
-def items_of(sizes: DataFrame, containers: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(size_id, max_tokens, doc, n, first, k): k pieces of n tokens, numbered from first; two rows an item at most.
-
-    ``containers`` is the table of capacities in use, a handful of rows by its nature; it is part of the plan.
-    """
+def capacities(rows: DataFrame, containers: DataFrame) -> DataFrame:
+    """``rows`` once for each usable row of ``containers``, a handful by its nature, which becomes part of the plan."""
     sized = sorted((int(r.size_id), int(r.max_tokens)) for r in containers.select("size_id", "max_tokens").collect() if r.size_id is not None and (r.max_tokens or 0) >= 1)
-    kinds = "array<struct<size_id: int, max_tokens: int>>"
-    each = F.array(*(F.struct(F.lit(i).alias("size_id"), F.lit(m).alias("max_tokens")) for i, m in sized)).cast(kinds)
-    per = sizes.select(F.col(doc), "n_tokens", F.inline(each))
+    each = F.array(*(F.struct(F.lit(i).alias("size_id"), F.lit(m).alias("max_tokens")) for i, m in sized)).cast("array<struct<size_id: int, max_tokens: int>>")
+    return rows.select("*", F.inline(each))
+
+
+def items_of(sizes: DataFrame, containers: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(size_id, max_tokens, doc, n, first, k): k pieces of n tokens, numbered from first; two rows an item at most."""
+    per = capacities(sizes.select(F.col(doc), "n_tokens"), containers)
     full, rest = F.expr("n_tokens div max_tokens"), F.expr("n_tokens % max_tokens")
     whole = F.struct(F.col("max_tokens").cast("int").alias("n"), F.lit(0).cast("long").alias("first"), full.cast("long").alias("k"))
     end = F.struct(rest.cast("int").alias("n"), full.cast("long").alias("first"), F.lit(1).cast("long").alias("k"))
@@ -259,3 +274,18 @@ def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """Per size: containers, pieces, tokens, and the share of the room that is used."""
     per = packed.groupBy("size_id").agg((F.max("container") + 1).alias("containers"), F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"))
     return per.join(F.broadcast(containers.select("size_id", "max_tokens")), "size_id").withColumn("used", F.round(F.col("tokens") / (F.col("containers") * F.col("max_tokens")), 6))
+
+
+def checks(packed: DataFrame, sizes: DataFrame, containers: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Per size: items, and of a packing how many containers hold more than they can, items miss or gained tokens, and items were cut that
+    fit; and whether there are at most 1 % (and three) more containers than the tokens fill. ``sizes`` (doc, n_tokens) may be counted by other means."""
+    room = F.broadcast(containers.filter("size_id is not null and max_tokens >= 1").select("size_id", "max_tokens"))
+    over = packed.groupBy("size_id", "container").agg(F.sum("n_tokens").alias("n")).join(room, "size_id").groupBy("size_id", "max_tokens").agg(
+        F.count_if(F.col("n") > F.col("max_tokens")).alias("overfull"), F.count("*").alias("containers"), F.sum("n").alias("tokens"))
+    placed = packed.groupBy("size_id", doc).agg(F.sum("n_tokens").alias("placed"), F.count("*").alias("pieces"))
+    each = capacities(sizes.select(doc, "n_tokens"), containers)
+    fits = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("max_tokens")))
+    per = each.join(placed, ["size_id", doc], "left").groupBy("size_id").agg(
+        F.count("*").alias("items"), F.count_if(~F.col("placed").eqNullSafe(F.col("n_tokens"))).alias("incomplete"), F.count_if(~F.col("pieces").eqNullSafe(fits)).alias("cut_wrongly"))
+    near = F.col("containers") <= F.ceil(F.col("tokens") / F.col("max_tokens")) * 1.01 + 3
+    return per.join(over, "size_id").select("size_id", "items", "overfull", "incomplete", "cut_wrongly", near.alias("near_bound"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandlog.functions.keys import pad_key
 from strandlog.llm import bpe, frequent, packing, quantiles, seen, sentences
 from strandlog.llm.arrow import bounded_batches
+from strandlog.sources.shared import cut
 from strandlog.sources.tables import table
 
 
@@ -74,12 +75,19 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, d), table(spark, d, "container_sizes"))
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Capacity, completeness, cuts and fill of the packing, against the numbers of ids that problem 7 gives the texts."""
+    packed = cut(p8_containers(spark, d), "packed")
+    sizes = cut(p7_ids(spark, d).select("doc_id", F.size("ids").cast("long").alias("n_tokens")), "sizes")
+    return packing.checks(packed, sizes, table(spark, d, "container_sizes"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_top, p3_percentiles, p3_within, p6_found, p6_rates, p6_audit, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found)
+    f.__name__: f for f in (p2_found, p2_top, p3_percentiles, p3_within, p6_found, p6_rates, p6_audit, p7_ids, p7_decoded, p8_containers, p8_fill, p8_checks, p9_found)
 }
 
 _COUNTS = """
@@ -107,6 +115,7 @@ f as (select key, min(wave) + 1 as segment from w where key not in (select key f
 select segment, count(distinct f.key) as keys, (select count(*) from w where wave >= segment) as probes, count(*) filter (wave >= segment) as found, true as as_expected
 from f left join w using (key) group by segment having probes > 0""",
     "p7_decoded": "select doc_id, cast(octet_length(encode(coalesce(text, ''))) as bigint) as bytes, md5(coalesce(text, '')) as digest from documents",
+    "p8_checks": "select size_id, (select count(*) from documents) as items, cast(0 as bigint) as overfull, cast(0 as bigint) as incomplete, cast(0 as bigint) as cut_wrongly, true as near_bound from container_sizes where max_tokens >= 1",
     "p6_found": """
 with p as (select recv_id, lpad(key, 10, '0') as pkey from put_request where key is not null and recv_id is not null),
 r as (select *, min(recv_id) over (partition by pkey) as first from p)

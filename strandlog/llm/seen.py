@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlog.functions.keys import pad_key
-from strandlog.operators.hot import HOT_PARTS, join_on_keys
+from strandlog.operators.hot import join_on_keys
 from strandlog.sources.shared import cut, list_names, new_path
 from strandlog.sources.vlog import filesystem
 
@@ -265,7 +265,7 @@ def judge(records: DataFrame, store: DataFrame, recv: str = "recv_id", key: str
     return ask(records, remember(store, store.count() + records.count(), key), recv, key, waves)
 
 
-def seen_before(records: DataFrame, store: DataFrame | SeenStore, recv: str = "recv_id", key: str = "key", waves: int = WAVES, parts: int = HOT_PARTS) -> DataFrame:
+def seen_before(records: DataFrame, store: DataFrame | SeenStore, recv: str = "recv_id", key: str = "key", waves: int = WAVES, parts: int | None = None) -> DataFrame:
     """The receipt number of each record whose key is in the store (a table, or an opened store) or in a record received before."""
     j = ask(records, store, recv, key, waves) if isinstance(store, SeenStore) else judge(records, store, recv, key, waves)
     more = j.keys.filter("seen or n > 1")
