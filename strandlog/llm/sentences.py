@@ -3,7 +3,9 @@
 Between words the model inserts hidden boundary events. At each place where a sentence may end (after closing
 punctuation that lies in no quotation or bracket, and in scripts without such punctuation at every blank) it weighs
   P(event | word before, whether that word began a sentence)  and  P(word after | word before, event or none),
-and forward-backward sums over the events of neighbouring places give the posterior that decides.
+and forward-backward sums over the events of neighbouring places give the posterior that decides. In a block of any other
+script that has no such mark at all an event may stand between any two words; how probable it is follows from
+the length of the block and the mean length of sentences, so that only blocks longer than those come to be parted.
 
 The counts come from the whole corpus, without labels: block ends and block starts are sure events, words
 inside are sure non-events, and the places between are counted in expectation, over ``ROUNDS`` of EM. An abbreviation
@@ -149,6 +151,10 @@ def class_after(token: str, follow: str, wide: bool) -> tuple[str, str]:
     return after(token, follow, wide) if len(token) + len(follow) <= 2 * REMEMBERED else after.__wrapped__(token, follow, wide)
 
 
+#: Class of the word before a gap of a block without marks, and the least words of such a block (shorter ones have no room for an event).
+GAP, GAP_WORDS = "_", 12
+
+
 class Place(NamedTuple):
     """Where a sentence may end, the classes around it, and whether its word is the first or directly follows another place."""
 
@@ -167,7 +173,10 @@ def is_wide(text: str) -> bool:
 
 
 def places(text: str, wide: bool) -> tuple[list[Place], list[tuple[str, str]], tuple[str, str], tuple[str, str]]:
-    """Of a segment: its places, the words that surely begin no sentence, the classes of its first word, and of its last."""
+    """Of a segment: its places, the words that surely begin no sentence, the classes of its first word, and of its last.
+
+    The ``shape`` of a gap is the class of the word before it as of a word after a place.
+    """
     spans = [m.span() for m in QUOTED.finditer(text)]
     tokens = list(TOKEN.finditer(text))
     raw: list[tuple[int, str, int, int]] = []  # end, word, index of the word, whether inside the word
@@ -218,6 +227,10 @@ def places(text: str, wide: bool) -> tuple[list[Place], list[tuple[str, str]], t
         if i not in starts:
             t = tokens[i][0]
             inside.append((t, tokens[i + 1][0] if t[0].isupper() and i + 1 < len(tokens) else ""))
+    if not raw and len(tokens) >= GAP_WORDS:
+        for i in range(1, len(tokens) - 2):  # without a mark a sentence has two words at least
+            case, cls = class_after(tokens[i + 1][0], tokens[i + 2][0], wide)
+            out.append(Place(tokens[i].end(), GAP, "".join(class_after(tokens[i][0], "", wide)), case, cls, False, i > 1))
     if not tokens:
         return out, inside, ("", ""), ("", "")
     return out, inside, class_after(tokens[0][0], tokens[1][0] if len(tokens) > 1 else "", wide), class_before(tokens[-1][0])
@@ -261,7 +274,7 @@ def parsed(text: str, counts: Counter) -> tuple[list[int], list[tuple[bool, list
     """Of a mail the sure ends of units, and per segment whether it has capitals and its places.
 
     Adds to ``counts`` what the mail tells: s (class at a start), e (class at an end), c (classes around a place), u (class
-    inside), U (the same as a word that has yet to be classed).
+    inside), U (the same as a word that has yet to be classed), z (class of the last word without its marks).
     """
     sure, open_ = [], []
     for kind, a, z in segments(text):
@@ -273,9 +286,12 @@ def parsed(text: str, counts: Counter) -> tuple[list[int], list[tuple[bool, list
         found, inside, (case, cls), (exact, shape) = places(part, wide)
         counts["s", "", "", case, cls] += 1
         bare = part.rstrip()
+        last = bare.rstrip(CLOSERS + TERMINAL).rsplit(None, 1)[-1:]
+        if last:
+            counts["z", "", "", *class_after(last[0], "", wide)] += 1
         if end_mark(bare) or UNMARKED_END.search(bare[-1:]):
             counts["e", exact, shape, "", ""] += 1
-        for p in found:
+        for p in found if found and found[0].exact != GAP else ():
             counts["c", ("^" if p.first else "") + p.exact, p.shape, p.case, p.next] += 1
         for w, follow in inside:
             if len(w) + len(follow) <= REMEMBERED:
@@ -347,6 +363,8 @@ class Model:
         self.inside: dict[str, float] = {}
         self.pair: tuple[dict[tuple[str, str], float], dict[tuple[str, str], float]] = {}, {}
         self.total: tuple[dict[str, float], dict[str, float]] = {}, {}
+        self.words = float("inf")  # of a sentence on average
+        self.final: dict[str, float] = {}  # how much oftener a word ends a sentence than it stands inside
 
     def class_before(self, exact: str, shape: str) -> str:
         if exact in self.known_before:
@@ -373,9 +391,15 @@ class Model:
         if not n:
             return []
         emit, to = [], []
+        gap = min(0.5, max(0.0, (n + 3) / self.words - 1) / n)
         for _, exact, shape, case, following, opens, near in found:
             cur = self.class_before(exact, shape)
             nxt = self.class_after(case if cased else "n", following)
+            if exact == GAP:
+                end = self.class_after(shape[:1] if cased else "n", shape[1:])
+                emit.append((self.inside.get(nxt, 1e-5), self.start.get(nxt, 1e-5) * self.final.get(end, 1.0)))
+                to.append((gap, 0.0 if near else gap))
+                continue
             emit.append((self.word(cur, nxt, 0), self.word(cur, nxt, 1)))
             plain = self.event.get(cur, self.event.get(shape, 0.5))
             first = self.event.get(self.class_before("^" + exact, shape), plain)
@@ -409,7 +433,7 @@ def fit(stats: DataFrame) -> Model:
     stats = stats.withColumns({"word": word, "pair": pair})
 
     def top(c: str, least: int = LEAST) -> list[str]:
-        per = stats.filter(F.col(c) != "").groupBy(c).agg(F.sum("n").alias("n"))
+        per = stats.filter(F.col(c) != "").filter("kind <> 'z'").groupBy(c).agg(F.sum("n").alias("n"))
         return [r[0] for r in per.filter(F.col("n") >= least).orderBy(F.desc("n"), c).limit(VOCABULARY).collect()]
 
     m.known_before, m.known_after, m.known_shapes = set(top("exact")), set(top("word")), set(top("shape", 1))
@@ -432,7 +456,7 @@ def fit(stats: DataFrame) -> Model:
         "sentence-classes",
     )
     # How much a class tells: the log ratio of its share among sure starts to its share elsewhere, for each kind of class.
-    classes = mapped.filter("kind != 'e'").select("kind", "n", F.explode(F.array_distinct(F.array("nxt", "pair"))).alias("class"), "nxt").filter("class != '' or nxt = ''")
+    classes = mapped.filter("kind not in ('e', 'z')").select("kind", "n", F.explode(F.array_distinct(F.array("nxt", "pair"))).alias("class"), "nxt").filter("class != '' or nxt = ''")
     seen: dict[str, list[float]] = {}
     plain_classes = set()
     for kind, cls, n in classes.groupBy("kind", "class").agg(F.sum("n")).collect():
@@ -452,12 +476,14 @@ def fit(stats: DataFrame) -> Model:
         .groupBy("kind", "cur", "nxt").agg(F.sum("n").alias("n"), F.min("rest").alias("rest")),
         "sentence-pairs",
     )
-    starts, inner, ends, contexts = Counter(), Counter(), Counter(), Counter()
+    starts, inner, ends, finals, contexts = Counter(), Counter(), Counter(), Counter(), Counter()
     for kind, cur, nxt, n in chosen.filter("kind != 'c'").select("kind", "cur", "nxt", "n").collect():
         if kind == "s":
             starts[nxt] += n
         elif kind == "u":
             inner[nxt] += n
+        elif kind == "z":
+            finals[nxt] += n
         else:
             ends[cur] += n
     around = chosen.filter("kind = 'c'")
@@ -498,12 +524,19 @@ def fit(stats: DataFrame) -> Model:
         event = (yes_total + 0.02) / (total + 0.04)
         event = np.clip((yes_total + 5 * event[plain]) / (total + 5), 0.001, 0.995)
     m.event = dict(zip(curs, event.tolist()))
+    m.words = float((s0.sum() + u0.sum() + n.sum()) / (s0.sum() + yes_total.sum()))
     m.total = dict(zip(curs, no_total.tolist())), dict(zip(curs, yes_total.tolist()))
     # Besides the cases of words, the same without them, for paragraphs that have none.
     for into, p in ((m.start, start), (m.inside, inside)):
         for word, v in zip(nxts, p.tolist()):
             into[word] = v
             into["n" + word[1:]] = into.get("n" + word[1:], 0.0) + v
+    z0 = smooth(np.array([float(finals[b]) for b in nxts]))
+    plain_final: dict[str, float] = {}
+    for word, v in zip(nxts, z0.tolist()):
+        plain_final[word] = v
+        plain_final["n" + word[1:]] = plain_final.get("n" + word[1:], 0.0) + v
+    m.final = {c: v / m.inside[c] for c, v in plain_final.items()}
     m.tells = {c: v for c, v in m.tells.items() if c in m.start}
     for into, p in zip(m.pair, (pairs_no, pairs_yes)):
         for (a, b, _), v in zip(pairs, p.tolist()):

@@ -233,6 +233,26 @@ def test_model_finds_held_out_boundaries(spark):
     assert good / found > 0.97 and good / true > 0.97
 
 
+def test_gaps_of_blocks_without_marks(spark):
+    r = random.Random(6)
+    subject, verb, thing = ["we", "they", "you", "i", "she"], ["moved", "counted", "closed", "opened", "sent"], ["the box", "the file", "a letter", "the door", "the list"]
+    sentence = lambda: f"{r.choice(subject)} {r.choice(verb)} {r.choice(thing)} {r.choice(['today', 'again', 'twice', 'quietly'])}"
+    docs = [(i, HEAD + "\n" + "\n\n".join(". ".join(x.capitalize() for x in (sentence() for _ in range(r.randrange(1, 5)))) + "." for _ in range(3)) + "\n") for i in range(800)]
+    model = sentences.fit(sentences.statistics(sentences.read_corpus(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")))
+    good = found = true = 0
+    for _ in range(200):
+        text, ends = HEAD + "\n", set()
+        for _ in range(r.randrange(3, 7)):
+            text += sentence()
+            ends.add(len(text))
+            text += " "
+        got = set(sentences.unit_ends(text.rstrip() + "\n", model))
+        good, found, true = good + len(got & ends), found + len(got), true + len(ends)
+    assert good / found > 0.9 and good / true > 0.9
+    short = HEAD + "\nwe moved the box today\n"
+    assert sentences.unit_ends(short, model) == [len(short) - 1]
+
+
 def test_pairs_beyond_the_limit_keep_their_counts(spark, monkeypatch):
     docs = corpus(1, 1500)
     stats = sentences.statistics(sentences.read_corpus(spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string"), "doc_id", "text")).cache()
