@@ -6,8 +6,8 @@ kinds go to separate files. A reader takes the inserts without those for whose k
 Nothing is rewritten on ingest, batches may arrive in any order, and applying a batch twice changes nothing.
 
 A sequence number is (idx, term). Inside a batch only rows of the greatest term of a (group, idx) are appended. As a later
-batch may bring a greater one, every batch also appends its *terms* (group, idx, term), of entries that change nothing
-too. With more than one batch the reader takes the positions at which these differ and drops, of inserts and deletes, the rows of lesser terms.
+batch may bring a greater one, rows carry their term, and an entry that changes nothing appends a *term* (group, idx, term), too.
+With more than one batch the reader takes the positions at which the terms differ and drops, of inserts and deletes, the rows of lesser ones.
 
 Defined cases
     null idx or null group: the row is ignored (it has no place in the order).
@@ -47,17 +47,14 @@ def real_value(value: Column) -> Column:
 def entries(feed: DataFrame) -> DataFrame:
     """The entries that hold inside a batch: group_id, idx, term, kind ('set', 'remove', 'none'), key (padded), value.
 
-    Repeats collapse before the first shuffle, so that an entry repeated in a third of all rows costs no
-    more than one row per input partition; then the greatest term of each (group, idx) is chosen.
+    Rows that are alike in what counts collapse before the first shuffle, in a hash aggregate, so that an entry repeated in a third of all
+    rows costs no more than one row per input partition; then the greatest term of each (group, idx) is chosen. Of an entry
+    with several values all are kept here; the reader takes the real one.
     """
     op = clean_op("op")
     kind = F.when(F.col("key").isNull(), "none").when(op.isin(*SETTING_OPS), "set").when(op == REMOVING_OP, "remove").otherwise("none")
-    once = (
-        feed.filter(F.col("idx").isNotNull() & F.col("group_id").isNotNull())
-        .select("group_id", "idx", F.coalesce("term", F.lit(-1)).alias("term"), kind.alias("kind"), pad_key("key").alias("key"), "value")
-        .groupBy("group_id", "idx", "term", "kind", "key")
-        .agg(real_value(F.col("value")).alias("value"))
-    )
+    rows = feed.filter(F.col("idx").isNotNull() & F.col("group_id").isNotNull()).select("group_id", "idx", F.coalesce("term", F.lit(-1)).alias("term"), kind.alias("kind"), pad_key("key").alias("key"), "value")
+    once = rows.select("group_id", "idx", "term", "kind", F.when(F.col("kind") != "none", F.col("key")).alias("key"), F.when(F.col("kind") == "set", F.col("value")).alias("value")).distinct()
     newest = F.max("term").over(Window.partitionBy("group_id", "idx"))
     return once.withColumn("newest", newest).filter(F.col("term") == F.col("newest")).drop("newest")
 
@@ -67,9 +64,9 @@ def changes(held: DataFrame) -> DataFrame:
     part = lambda content, value: F.struct(F.lit(content).alias("content"), value.alias("value"))
     nothing = F.lit(None).cast("string")
     term, remove, insert = part("term", nothing), part("delete", nothing), part("insert", F.col("value"))
-    rows = F.when(F.col("kind") == "set", F.array(term, remove, insert)).when(F.col("kind") == "remove", F.array(term, remove)).otherwise(F.array(term))
+    rows = F.when(F.col("kind") == "set", F.array(remove, insert)).when(F.col("kind") == "remove", F.array(remove)).otherwise(F.array(term))
     each = held.select("group_id", "key", F.col("idx").alias("seq"), "term", F.explode(rows).alias("c"))
-    return each.select("group_id", F.when(F.col("c.content") != "term", F.col("key")).alias("key"), "seq", "term", "c.value", "c.content")
+    return each.select("group_id", "key", "seq", "term", "c.value", "c.content")
 
 
 class EqualityDeleteTable:
@@ -86,14 +83,14 @@ class EqualityDeleteTable:
         changes(held).write.mode("overwrite").partitionBy("content").parquet(f"{self.path}/batch={batch or uuid.uuid4().hex}")
         return self
 
-    def _files(self, content: str) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path).filter(F.col("content") == content).drop("content", "batch")
+    def _files(self, *contents: str) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path).filter(F.col("content").isin(*contents)).drop("content", "batch")
 
     def superseded(self) -> DataFrame | None:
         """(group_id, seq, top) where batches brought several terms; None if there was one batch only, which holds no such rows."""
         if len([x for x in list_names(self.spark, self.path) if x.startswith("batch=")]) < 2:
             return None
-        per = self._files("term").groupBy("group_id", "seq").agg(F.min("term").alias("least"), F.max("term").alias("top"))
+        per = self._files("term", "delete").groupBy("group_id", "seq").agg(F.min("term").alias("least"), F.max("term").alias("top"))
         return cut(per.filter("least < top").select(F.col("group_id").alias("_g"), F.col("seq").alias("_s"), "top"), "superseded")
 
     @staticmethod
