@@ -11,7 +11,7 @@ from strandlog.functions import scalars
 from strandlog.functions.keys import pad_key, unpad_key
 from strandlog.operators import compact, consensus, features, live, metrics, ordered, putlog, workload
 from strandlog.plans import kv, work
-from strandlog.sources import csvio, vlog
+from strandlog.sources import csvio, shared, vlog
 from strandlog.sources.generations import Conflict, Generations
 
 LOG = "key string, idx long, value string"
@@ -324,6 +324,32 @@ def test_generations_of_writers_that_meet_or_die(spark, tmp_path, monkeypatch):
     assert sorted(r.key for r in b.read().collect()) == ["a", "b", "c"]
 
 
+def test_shared_folder_must_be_named_on_a_cluster(spark):
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        def __init__(self, master):
+            self.conf, self.sparkContext = Conf(), type("Context", (), {"master": master})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_root(Session("spark://host:7077"))
+    local = Session("local[2]")
+    root = shared.shared_root(local)
+    assert root.startswith("file:///") and shared.shared_root(local) == root
+
+
+def test_release_removes_intermediate_tables(spark):
+    df = shared.cut(spark.range(5).toDF("id"), "released")
+    path = shared._written[-1][1]
+    assert df.count() == 5 and shared.list_names(spark, path)
+    kept = [x for x in shared._written if x[1] != path]
+    shared._written[:] = [(spark, path)]
+    shared.release(spark)
+    assert shared.list_names(spark, path) == [] and shared._written == []
+    shared._written.extend(kept)
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "s.csv").write_text("time,open,low\n1,x,0.5\n2,x,bad\n3,x,\n")
     got = csvio.read_series(spark, str(tmp_path / "s.csv")).collect()
