@@ -27,6 +27,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strandlog.functions.keys import clean_op, pad_key
 from strandlog.operators.hot import hot_rows
@@ -53,7 +54,7 @@ def entries(feed: DataFrame) -> DataFrame:
     """
     op = clean_op("op")
     kind = F.when(F.col("key").isNull(), "none").when(op.isin(*SETTING_OPS), "set").when(op == REMOVING_OP, "remove").otherwise("none")
-    rows = feed.filter(F.col("idx").isNotNull() & F.col("group_id").isNotNull()).select("group_id", "idx", F.coalesce("term", F.lit(-1)).alias("term"), kind.alias("kind"), pad_key("key").alias("key"), "value")
+    rows = feed.filter(F.col("idx").isNotNull() & F.col("group_id").isNotNull()).select("group_id", "idx", F.coalesce("term", F.lit(-1).cast(feed.schema["term"].dataType)).alias("term"), kind.alias("kind"), pad_key("key").alias("key"), "value")
     once = rows.select("group_id", "idx", "term", "kind", F.when(F.col("kind") != "none", F.col("key")).alias("key"), F.when(F.col("kind") == "set", F.col("value")).alias("value")).distinct()
     newest = F.max("term").over(Window.partitionBy("group_id", "idx"))
     return once.withColumn("newest", newest).filter(F.col("term") == F.col("newest")).drop("newest")
@@ -72,9 +73,11 @@ def changes(held: DataFrame) -> DataFrame:
 class EqualityDeleteTable:
     """A merge-on-read table below ``path``: batch=.../content=insert/, content=delete/ and content=term/."""
 
-    SCHEMA = "group_id int, key string, seq int, term int, value string, batch string, content string"
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, like: StructType | None = None) -> None:
+        """``like``: the schema of the feed, for the types of group_id, idx and term, which are int without it."""
+        kinds = {f.name: f.dataType.simpleString() for f in like.fields} if like else {}
+        group, seq, term = (kinds.get(c, "int") for c in ("group_id", "idx", "term"))
+        self.schema = f"group_id {group}, key string, seq {seq}, term {term}, value string, batch string, content string"
         self.spark, self.path = spark, path
 
     def append(self, held: DataFrame, batch: str | None = None) -> "EqualityDeleteTable":
@@ -84,7 +87,7 @@ class EqualityDeleteTable:
         return self
 
     def _files(self, *contents: str) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path).filter(F.col("content").isin(*contents)).drop("content", "batch")
+        return self.spark.read.schema(self.schema).parquet(self.path).filter(F.col("content").isin(*contents)).drop("content", "batch")
 
     def superseded(self) -> DataFrame | None:
         """(group_id, seq, top) where batches brought several terms; None if there was one batch only, which holds no such rows."""
@@ -127,5 +130,5 @@ class EqualityDeleteTable:
 def apply_feed(feed: DataFrame, path: str | None = None) -> DataFrame:
     """State after all changes of ``feed``: group_id, key, idx of the entry that set it, value."""
     spark = feed.sparkSession
-    table = EqualityDeleteTable(spark, path or new_path(spark, "changes"))
+    table = EqualityDeleteTable(spark, path or new_path(spark, "changes"), feed.schema)
     return table.append(entries(feed)).read()

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from strandlog.functions.keys import clean_op, pad_key
 from strandlog.operators.changefeed import REMOVING_OP, SETTING_OPS, EqualityDeleteTable, entries
@@ -28,9 +29,9 @@ def apply_stream(stream: DataFrame, table: str, checkpoint: str) -> StreamingQue
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_applied(spark: SparkSession, table: str) -> DataFrame:
-    """The state after all batches that were applied."""
-    return EqualityDeleteTable(spark, table).read()
+def read_applied(spark: SparkSession, table: str, like: StructType | None = None) -> DataFrame:
+    """The state after all batches that were applied, of a stream of schema ``like``."""
+    return EqualityDeleteTable(spark, table, like).read()
 
 
 def latest_stream(stream: DataFrame) -> DataFrame:

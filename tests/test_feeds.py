@@ -91,6 +91,13 @@ def test_later_batches_of_other_terms_and_payloads(spark):
     assert of([(0, 1, 1, "Put", "k", "NULL")], [(0, 1, 1, "Put", "k", "123")]) == {(0, key): (1, "123")}
 
 
+def test_feed_of_longs(spark):
+    rows = [(2**40, 2**41 + i, 2**35, "Put" if i != 3 else "Delete", str(i % 2), f"v{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "group_id long, idx long, term long, op string, key string, value string")
+    got = changefeed.apply_feed(df)
+    assert {(r.group_id, r.key, r.idx, r.value) for r in got.collect()} == {(2**40, pad("0"), 2**41 + 4, "v4")} and got.schema["idx"].dataType.simpleString() == "bigint"
+
+
 def test_feed_with_a_hot_key_and_few_hot_parts(spark):
     rows = [(0, i, 1, "Put" if i % 7 else "Delete", "hot" if i % 3 else str(i), f"v{i}", 1, "x") for i in range(300)]
     table = changefeed.EqualityDeleteTable(spark, changefeed.new_path(spark, "t")).append(changefeed.entries(spark.createDataFrame(rows, FEED)))
