@@ -102,6 +102,15 @@ def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _batches(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of things that lie between ``offsets``, of ``ROWS`` bytes at most or one thing."""
+    at = 0
+    while at < len(offsets) - 1:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + ROWS, side="right")) - 1)
+        yield at, end
+        at = end
+
+
 class Encoder:
     """Encodes lists of texts; one per Python worker and vocabulary file."""
 
@@ -163,8 +172,9 @@ class Encoder:
         n = np.diff(np.append(at, len(joined)))
         codes = self.byte_ids[joined]
         counts, parts = np.ones(len(n), dtype=np.int64), []
-        for chosen, query in ((np.flatnonzero((n > 1) & (n <= LONG)), MERGE), (np.flatnonzero(n > max(1, LONG)), MERGE_LONG)):
-            if len(chosen):
+        for some, query in ((np.flatnonzero((n > 1) & (n <= LONG)), MERGE), (np.flatnonzero(n > max(1, LONG)), MERGE_LONG)):
+            for a, b in _batches(np.append(0, np.cumsum(n[some]))):
+                chosen = some[a:b]
                 flat, counts[chosen] = self._contract(query, codes[_spread(at[chosen], n[chosen])], n[chosen])
                 parts.append((chosen, flat))
         begins = np.cumsum(counts) - counts
@@ -180,13 +190,11 @@ class Encoder:
         """Ids, and their number, of distinct non-empty words, in batches of about ``ROWS`` bytes."""
         offsets = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
         data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
-        flats, counts, at = [np.empty(0, dtype=np.int32)], [np.empty(0, dtype=np.int64)], 0
-        while at < len(words):
-            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + ROWS, side="right")) - 1)
+        flats, counts = [np.empty(0, dtype=np.int32)], [np.empty(0, dtype=np.int64)]
+        for at, end in _batches(offsets):
             flat, n = self._merge(data[offsets[at] : offsets[end]], np.diff(offsets[at : end + 1]))
             flats.append(flat)
             counts.append(n)
-            at = end
         return np.concatenate(flats), np.concatenate(counts)
 
     def encode(self, texts: pa.Array) -> pa.ListArray:

@@ -250,24 +250,22 @@ def remember(store: DataFrame, rows: int, key: str = "key", path: str | None = N
     return made
 
 
-def ask(records: DataFrame, store: SeenStore, recv: str = "recv_id", key: str = "key", waves: int = WAVES) -> Judged:
-    """Takes records in waves of receipt and adds their keys to the store."""
+def ask(records: DataFrame, store: DataFrame | SeenStore, recv: str = "recv_id", key: str = "key", waves: int = WAVES) -> Judged:
+    """Takes records in waves of receipt and adds their keys to the store; a table is made a store first."""
     rows = records.select(F.col(recv).cast("long").alias("recv"), pad_key(key).alias("key")).filter("recv is not null and key is not null")
     lo, hi, total = rows.agg(F.min("recv"), F.max("recv"), F.count("*")).first()
     lo, hi = lo or 0, hi or 0
+    if not isinstance(store, SeenStore):
+        store = remember(store, store.count() + total, key)
     step = max(1, -(-(hi - lo + 1) // waves))
     rows = rows.withColumn("wave", F.expr(f"cast((recv - {lo}) div {step} as int)"))
     out = store.take(rows.groupBy("wave", "key").agg(F.min("recv").alias("first"), F.count("*").alias("n")), waves)
     return Judged(rows, out.filter("what = 'answer'").select("wave", "key", "first", "n", "seen"), out.filter("what = 'stat'"), store, total)
 
 
-def judge(records: DataFrame, store: DataFrame, recv: str = "recv_id", key: str = "key", waves: int = WAVES) -> Judged:
-    return ask(records, remember(store, store.count() + records.count(), key), recv, key, waves)
-
-
 def seen_before(records: DataFrame, store: DataFrame | SeenStore, recv: str = "recv_id", key: str = "key", waves: int = WAVES, parts: int | None = None) -> DataFrame:
     """The receipt number of each record whose key is in the store (a table, or an opened store) or in a record received before."""
-    j = ask(records, store, recv, key, waves) if isinstance(store, SeenStore) else judge(records, store, recv, key, waves)
+    j = ask(records, store, recv, key, waves)
     more = j.keys.filter("seen or n > 1")
     found = join_on_keys(j.records, more, ["wave", "key"], "n", j.total, F.col("seen") | (F.col("recv") > F.col("first")), parts)
     return found.select(F.col("recv").alias(recv))
@@ -275,7 +273,7 @@ def seen_before(records: DataFrame, store: DataFrame | SeenStore, recv: str = "r
 
 def rates(records: DataFrame, store: DataFrame, recv: str = "recv_id", key: str = "key", waves: int = WAVES) -> DataFrame:
     """Per segment: keys, probes, passed, wrong (passed but not in it), theory (rate of wrong answers expected) and audited."""
-    j = judge(records, store, recv, key, waves)
+    j = ask(records, store, recv, key, waves)
     sets = cut(j.store.spark.read.schema(OUT.replace("what string, ", "") + ", take string, what string").parquet(j.store.root).filter("what = 'set'").select("segment", "n"), "set-sizes")
     sizes = sets.groupBy("segment").agg(F.sum("n").alias("keys"))
     got = j.stats.groupBy("segment").agg(*(F.sum(c).alias(c) for c in ("probes", "passed", "wrong")))

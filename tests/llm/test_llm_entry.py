@@ -28,3 +28,22 @@ def test_query(spark, name):
         assert got == sorted(tuple(plain(r[names.index(c)]) for c in cols) for r in rel.fetchall())
     else:
         assert got
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_ids_of_all_documents(spark):
+    tokenizers, tables = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    t = tokenizers.Tokenizer.from_file(tables.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: r.ids for r in queries.p7_ids(spark, SF).collect()}
+    assert got == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in texts.items()}
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_percentiles_are_close_and_units_lie_in_their_texts(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    ends = queries.p9_found(spark, SF).collect()
+    assert len(ends) == len({(r.doc_id, r.end_pos) for r in ends}) and all(not texts[r.doc_id][r.end_pos - 1].isspace() for r in ends)
+    for r in queries.p3_percentiles(spark, SF).collect():
+        assert r.p50 <= r.p90 <= r.p99 <= r.p999
